@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="seekmill-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path if "://" in path or not path.startswith("/") else f"file://{path}" if spark.sparkContext.master.startswith("local") else path
+    return path
 
 
 class Scratch:
@@ -29,7 +29,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        jvm = spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+        fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.root = fs.makeQualified(base).toString().replace("file:/", "file:///").replace("file://///", "file:///")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
