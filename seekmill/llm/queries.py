@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seekmill.llm import exact_dedup, mixing, packing, token_counts
+from seekmill.llm import exact_dedup, fingerprints, mixing, packing, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "source", "copy")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.corpus_containment(_documents(spark, sf_dir))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "n_copies")
 
@@ -33,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mixing": op4_mixing,
+    "op5_fingerprints": op5_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
