@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seekmill.llm import exact_dedup, fingerprints, mixing, packing, token_counts
+from seekmill.llm import chat, exact_dedup, fingerprints, mixing, packing, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +34,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir)).select("doc_id", "n_copies")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat.as_records(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.format_chat(records).select(F.col("id").alias("conv_id"), "turn", "role", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mixing": op4_mixing,
     "op5_fingerprints": op5_fingerprints,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE_SQL,
     "op9_exact_dedup": "SELECT min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY text",
+    "op10_chat_formatting": chat.ORACLE_SQL,
 }
