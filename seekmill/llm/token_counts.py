@@ -141,4 +141,5 @@ def token_counts(
     if not places.take(1):
         return spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     counts = stitch(scan_blocks(spark, uri, eod, block_tokens))
-    return places.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides grow with the corpus, and their compact files look small enough to broadcast: ask for a shuffle
+    return places.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
