@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,14 @@ def get_session(app: str = "seekmill", cpus: int | str | None = None, **conf: st
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Put this package on the path of the Python workers, wherever they run; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_seekmill_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="seekmill-ship-")  # the driver serves the file to the executors
+    package = Path(__file__).resolve().parent
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+    context._seekmill_shipped = True
