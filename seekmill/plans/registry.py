@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("search_queries",)
+_MODULES = ("search_queries", "text_queries", "document_queries", "routing_queries", "crawl_queries", "stream_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -26,6 +26,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def _load() -> None:
     for module in _MODULES:
         importlib.import_module(f"seekmill.plans.{module}")
