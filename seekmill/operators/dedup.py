@@ -2,15 +2,15 @@
 
 Equal SimHashes are one node before any join, so copies never pair up with one another. Two hashes that differ in at most t
 of 64 bits agree on at least CHOOSE of t + CHOOSE blocks; the join keys are therefore all choices of CHOOSE blocks: exact, as is a join
-on 8 bands of 8 bits for t <= 7, but with keys of more than 21 bits at t = 3 and not of 8, which at billions of documents
-decides between a few candidates and millions.
+on 8 bands of 8 bits for t <= 7, but with keys of 32 bits at t = 3 and not of 8, which at billions of documents decides between
+a few candidates and millions.
 """
 
 from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seekmill.functions import identity, urls
@@ -33,23 +33,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", hash_col: str = "c
     return docs.select(id_col, hash_col).join(first, hash_col).filter(F.col(id_col) > F.col("first_id")).select(id_col, "first_id")
 
 
-def block_keys(sim: Column, threshold: int) -> Column:
-    """array<struct<c, key>>: the bits of every choice of blocks."""
-    n = threshold + CHOOSE
+def block_masks(threshold: int) -> list[int]:
+    """The bits of every choice of blocks, as signed 64-bit masks."""
+    choose = CHOOSE if threshold <= 5 else CHOOSE - 1  # no more than about 60 keys a hash, up to a threshold of 9
+    n = threshold + choose
     edges = [64 * i // n for i in range(n + 1)]
-    bits = [F.shiftrightunsigned(sim, 64 - edges[i + 1]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(n)]
-    out = []
-    for c, choice in enumerate(itertools.combinations(range(n), CHOOSE)):
-        key = F.lit(0).cast("bigint")
-        for i in choice:
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(bits[i])
-        out.append(F.struct(F.lit(c).alias("c"), key.alias("key")))
-    return F.array(*out)
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in choice) for choice in itertools.combinations(range(n), choose)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def near_pairs(nodes: DataFrame, threshold: int = THRESHOLD, sim_col: str = "simhash") -> DataFrame:
     """(a, b, distance) of distinct hashes a < b that differ in 1 to threshold bits."""
-    keyed = nodes.select(sim_col).distinct().select(F.col(sim_col).alias("s"), F.inline(block_keys(F.col(sim_col), threshold)))
+    keyed = nodes.select(sim_col).distinct().select(F.col(sim_col).alias("s"), F.posexplode(F.transform(F.lit(block_masks(threshold)), lambda m: F.col(sim_col).bitwiseAND(m))).alias("c", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.s") < F.col("b.s")))
     pairs = pairs.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), identity.hamming(F.col("a.s"), F.col("b.s")).alias("distance"))
