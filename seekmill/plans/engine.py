@@ -35,23 +35,20 @@ class Engine:
                 docs = docs.withColumn(name, F.lit(None).cast(kind))
         if self.config.dedup.enabled:
             found = dedup.classify(dedup.with_identity(docs, "content"), self.config.dedup.threshold, "id")
-            docs = docs.join(found.filter("status = 'new'").select("id"), "id", "left_semi")
+            docs = S.Scratch(self.spark, "new").table(docs.join(found.filter("status = 'new'").select("id"), "id", "left_semi"), "docs")
         c = self.config.chunking
         chunks = chunking.chunk_documents(docs, chunking.ChunkConfig(c.chunk_size, c.overlap, c.min_size), mode="whole" if whole else "sections", keep=("title", "url", "ts", "metadata"))
-        scratch = S.Scratch(self.spark, "index")
-        chunks = scratch.table(chunks.withColumn("extra", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).drop("metadata"), "chunks")
+        chunks = S.Scratch(self.spark, "index").table(chunks.withColumn("extra", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).drop("metadata"), "chunks")
         self._drop(docs.select(F.col("id").cast("string").alias("document_id")), "document_id")
         self._drop(docs.filter("url IS NOT NULL").select("url"), "url")
         ingest.write_chunks(self.store, chunks, self.embedder)
         return chunks.count()
 
     def _drop(self, keys: DataFrame, key: str) -> int:
-        chunks = self.store.read("chunks")
-        gone = S.Scratch(self.spark, "drop").table(S.get_batch(chunks, keys, key).select("chunk_id", "document_id"), "gone")
+        gone = S.Scratch(self.spark, "drop").table(S.get_batch(self.store.read("chunks"), keys, key).select("chunk_id", "document_id"), "gone")
         n = gone.select("document_id").distinct().count()
         if n:
-            for name in S.TABLES:
-                self.store.write(name, S.remove(self.store.read(name), gone))
+            self.store.commit(dead=gone)
         return n
 
     def delete(self, document_ids: list[str]) -> int:
@@ -59,14 +56,12 @@ class Engine:
         return self._drop(self.spark.createDataFrame([(d,) for d in document_ids], "document_id string"), "document_id")
 
     def clear(self) -> None:
-        for name, schema in S.TABLES.items():
-            self.store.write(name, self.spark.createDataFrame([], schema))
+        self.store.commit({name: self.spark.createDataFrame([], schema) for name, schema in S.TABLES.items()}, replace=True)
 
     def rebuild_lexical(self) -> None:
         """E9."""
         index = lexical.build_index(self.store.read("chunks"))
-        self.store.write("postings", index.postings)
-        self.store.write("lengths", index.lengths)
+        self.store.commit({"postings": index.postings, "lengths": index.lengths}, replace=True)
 
     # reading
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,43 +41,120 @@ CHUNKS = (
 TABLES = {"chunks": CHUNKS, "postings": "term string, chunk_id string, tf bigint", "lengths": "chunk_id string, dl bigint", "vectors": "chunk_id string, embedding array<float>"}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+class _Fs:
+    """The file system of a path: small files, written whole."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm = spark.sparkContext._jvm
+        self.at = self.jvm.org.apache.hadoop.fs.Path
+        self.fs = self.at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        p = self.at(folder)
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(p)) if self.fs.exists(p) else []
+
+    def read(self, path: str) -> str:
+        stream = self.fs.open(self.at(path))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, path: str, text: str) -> None:
+        """Fails if the file is there already."""
+        hidden = self.at(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        out = self.fs.create(hidden, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if self.fs.exists(self.at(path)) or not self.fs.rename(hidden, self.at(path)):
+            self.fs.delete(hidden, False)
+            raise RuntimeError(f"another writer made {path}")
 
 
 class Store:
-    """The tables of an index under one folder. Each table is a series of snapshots and a pointer to the newest, so a
-    reader never sees half a write and a writer may read what it replaces. mode: 'create' drops what is there, 'open' keeps it,
-    'read' refuses writes; missing tables are empty ones."""
+    """The tables of an index under one folder, as append-only segments.
+
+    A commit writes segments (a Parquet folder a table), a segment of deleted chunk ids, and at last a numbered manifest that names all
+    segments there are; readers take the newest manifest, so they never see half a commit, and two writers can't both make the same
+    number. A row is dead if a later commit deleted its chunk id. So an update costs what it writes and never rewrites a table; compact()
+    folds the segments once there are many. mode: 'create' starts empty, 'open' goes on, 'read' refuses writes.
+    """
 
     def __init__(self, spark: SparkSession, path: str, mode: str = "open"):
         if mode not in ("open", "read", "create"):
             raise ValueError(f"unknown mode {mode}")
-        self.spark, self.path, self.mode = spark, path.rstrip("/"), mode
+        self.spark, self.path, self.mode, self._fs = spark, path.rstrip("/"), mode, _Fs(spark, path)
         if mode == "create":
-            for name in TABLES:
-                self.write(name, spark.createDataFrame([], TABLES[name]))
+            self._publish(self._number() + 1, {"tables": {}, "dead": []})
+
+    def _number(self) -> int:
+        found = [int(n) for n in self._fs.names(f"{self.path}/manifest") if n.isdigit()]
+        return max(found, default=0)
 
-    def _current(self, name: str) -> str | None:
-        pointer = f"{self.path}/{name}/current"
-        return self.spark.read.text(pointer).first()[0] if exists(self.spark, pointer) else None
+    def _manifest(self) -> tuple[int, dict]:
+        n = self._number()
+        return n, json.loads(self._fs.read(f"{self.path}/manifest/{n:010d}")) if n else {"tables": {}, "dead": []}
+
+    def _publish(self, n: int, manifest: dict) -> None:
+        if self.mode == "read":
+            raise PermissionError(f"{self.path} is open for reading only")
+        self._fs.create(f"{self.path}/manifest/{n:010d}", json.dumps(manifest))
 
     def read(self, name: str) -> DataFrame:
-        at = self._current(name)
-        if at is None:
+        _, m = self._manifest()
+        segments = m["tables"].get(name, [])
+        if not segments:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.parquet(f"{self.path}/{name}/{at}")
-
-    def write(self, name: str, df: DataFrame) -> None:
+        load = lambda folder: self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}")
+        first = min(n for n, _ in segments)
+        dead = [(n, folder) for n, folder in m["dead"] if n > first]
+        if not dead:
+            return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.path}/{folder}" for _, folder in segments))
+        rows = reduce(DataFrame.unionByName, (load(folder).withColumn("_n", F.lit(n)) for n, folder in segments))
+        gone = reduce(DataFrame.unionByName, (self.spark.read.schema("chunk_id string").parquet(f"{self.path}/{folder}").withColumn("_d", F.lit(n)) for n, folder in dead))
+        gone = gone.groupBy("chunk_id").agg(F.max("_d").alias("_d"))
+        alive = rows.join(gone, "chunk_id", "left").filter(F.col("_d").isNull() | (F.col("_d") <= F.col("_n")))
+        return alive.select(*(f.split(" ")[0] for f in TABLES[name].split(", ")))
+
+    def stage(self, name: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Write a segment that no manifest names yet."""
         if self.mode == "read":
             raise PermissionError(f"{self.path} is open for reading only")
-        at = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{name}/{at}")
-        self.spark.createDataFrame([(at,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/current")
+        folder = f"{name}/{uuid.uuid4().hex}"
+        missing = [c for c in TABLES.get(name, "chunk_id string").split(", ") if c.split(" ")[0] not in df.columns]
+        df = df.withColumns({c.split(" ", 1)[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in missing}) if missing else df
+        df = df.select(*(F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in TABLES.get(name, "chunk_id string").split(", ")))
+        df.write.parquet(f"{self.path}/{folder}")
+        return folder, self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
+
+    def commit(self, add: dict[str, DataFrame | str] | None = None, dead: DataFrame | None = None, replace: bool = False) -> None:
+        """Add segments (DataFrames, or staged ones by name) and delete chunk ids, at once: rows of this commit aren't deleted by it.
+        replace: the tables named consist of this commit only."""
+        n, m = self._manifest()
+        n += 1
+        for name, df in (add or {}).items():
+            folder = df if isinstance(df, str) else self.stage(name, df)[0]
+            m["tables"][name] = [*([] if replace else m["tables"].get(name, [])), [n, folder]]
+        if dead is not None and any(m["tables"].values()):
+            m["dead"].append([n, self.stage("dead", dead.select("chunk_id").distinct())[0]])
+        self._publish(n, m)
+
+    def write(self, name: str, df: DataFrame) -> None:
+        self.commit({name: df}, replace=True)
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df, allowMissingColumns=True))
+        self.commit({name: df})
+
+    def compact(self, segments: int = 0) -> None:
+        """Fold every table of more than so many segments into one, and forget the deletions that no segment needs."""
+        _, m = self._manifest()
+        many = [name for name, found in m["tables"].items() if len(found) > segments]
+        if many:
+            self.commit({name: self.stage(name, self.read(name))[0] for name in many}, replace=True)
+            n, m = self._manifest()
+            first = min((at for found in m["tables"].values() for at, _ in found), default=n)
+            m["dead"] = [d for d in m["dead"] if d[0] > first]
+            self._publish(n + 1, m)
 
 
 # the chunk store's operations, on any DataFrame of chunks

@@ -15,14 +15,11 @@ from seekmill.sources.store import Store
 def write_chunks(store: Store, batch: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Put a batch of chunks: blank contents and empty ids are left out, a chunk that is there already is replaced, so a
     repeated batch changes nothing."""
-    from seekmill.sources import store as S
-
     valid = batch.filter((F.trim(F.coalesce("content", F.lit(""))) != "") & (F.coalesce("chunk_id", F.lit("")) != "")).dropDuplicates(["chunk_id"])
-    store.write("chunks", S.put(store.read("chunks"), valid.select(*store.read("chunks").columns)))
-    index = lexical.build_index(valid)
-    for name, rows in (("postings", index.postings), ("lengths", index.lengths), *([("vectors", embed(valid).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding")))] if embed else [])):
-        old = store.read(name).join(valid.select("chunk_id"), "chunk_id", "left_anti")
-        store.write(name, old.unionByName(rows))
+    segment, chunks = store.stage("chunks", valid)
+    index = lexical.build_index(chunks)
+    vectors = {"vectors": embed(chunks).select("chunk_id", F.col("embedding").cast("array<float>").alias("embedding"))} if embed else {}
+    store.commit({"chunks": segment, "postings": index.postings, "lengths": index.lengths, **vectors}, dead=chunks.select("chunk_id"))
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None, interval: str | None = None) -> StreamingQuery:
