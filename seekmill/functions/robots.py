@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekmill.functions import urls
+from seekmill.functions import text as T, urls
 
 
 def pattern_regex(pattern: Column) -> Column:
@@ -64,8 +64,8 @@ def allowed(requests: DataFrame, robots: DataFrame) -> DataFrame:
     A host's patterns stay arrays and are searched row by row, so nothing is exploded."""
     longest = lambda patterns, p: F.coalesce(F.array_max(F.transform(F.filter(patterns, lambda x: path_matches(p, x)), lambda x: F.octet_length(x))), F.lit(0))
     joined = requests.withColumn("_host", urls.host(F.col("url"))).join(robots.select(F.col("host").alias("_host"), "allow", "disallow"), "_host", "left")
-    p = urls.path(F.col("url"))
-    ok = longest(F.coalesce("allow", F.array().cast("array<string>")), p) >= longest(F.coalesce("disallow", F.array().cast("array<string>")), p)
+    none = F.array().cast("array<string>")
+    ok = T.let(urls.path(F.col("url")), lambda p: longest(F.coalesce("allow", none), p) >= longest(F.coalesce("disallow", none), p))
     return joined.withColumn("allowed", ok).drop("_host", "allow", "disallow")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -81,6 +82,11 @@ def title_case(word: Column) -> Column:
 # vectors: stored as FLOAT, computed in DOUBLE
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: what stands inside a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -91,14 +97,13 @@ def norm(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0 or the lengths differ."""
-    n = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n).otherwise(0.0)
+    return let(norm(a) * norm(b), lambda n: F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n).otherwise(0.0))
 
 
 def unit(v: Column) -> Column:
     """L2-normalised; a zero vector stays."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(v.cast("array<double>"))
+    with_norm = let(v, lambda u: F.struct(u.cast("array<double>").alias("u"), norm(u).alias("n")))
+    return let(with_norm, lambda s: F.when(s["n"] > 0, F.transform(s["u"], lambda x: x / s["n"])).otherwise(s["u"]))
 
 
 def truncate_dims(v: Column, dims: int) -> Column:
@@ -109,4 +114,4 @@ def truncate_dims(v: Column, dims: int) -> Column:
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: ((h + i) mod 1000) / 500 - 1, normalised; h is the first 60 bits of the md5."""
     h = F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("bigint")
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: ((h + i) % 1000) / 500.0 - 1.0))
+    return unit(let(h, lambda k: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: ((k + i) % 1000) / 500.0 - 1.0)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seekmill.functions import text as T
+
 TRACKING = ("fbclid", "gclid", "ref", "sessionid", "sid", "source", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
 LISTING_PATHS = "archive archives author categories category label page tag tags topic".split()
 LISTING_KEYS = "filter order orderby p page sort view".split()
@@ -43,15 +45,18 @@ def segments(url: Column) -> Column:
 def is_crawl_trap(url: Column, max_length: int = 2048, max_depth: int = 15, max_repeats: int = 3) -> Column:
     """Too long, too deep, repeating itself, or like a calendar. A window size never exceeds half of max_depth
     segments, as deeper paths are traps already."""
-    s = segments(url)
-    n = F.size(s)
-    repeats = F.lit(False)
-    for w in range(1, max_depth // 2 + 1):
-        at = F.sequence(F.lit(1), F.greatest(n - w, F.lit(1)))
-        equal = F.size(F.filter(at, lambda i: F.try_element_at(s, i) == F.try_element_at(s, i + w)))  # noqa: B023
-        repeats = repeats | ((n >= max(4, 2 * w)) & (equal >= max_repeats))
-    calendar = F.concat(F.lit("/"), F.array_join(s, "/"), F.lit("/")).rlike(r"/\+?\d{1,10}/\+?\d{1,10}/\+?\d{1,10}/")
-    return (F.octet_length(url) > max_length) | (n > max_depth) | repeats | calendar
+
+
+    def of(s: Column) -> Column:
+        n, repeats = F.size(s), F.lit(False)
+        for w in range(1, max_depth // 2 + 1):
+            at = F.sequence(F.lit(1), F.greatest(n - w, F.lit(1)))
+            equal = F.size(F.filter(at, lambda i: F.try_element_at(s, i) == F.try_element_at(s, i + w)))  # noqa: B023
+            repeats = repeats | ((n >= max(4, 2 * w)) & (equal >= max_repeats))
+        calendar = F.concat(F.lit("/"), F.array_join(s, "/"), F.lit("/")).rlike(r"/\+?\d{1,10}/\+?\d{1,10}/\+?\d{1,10}/")
+        return (n > max_depth) | repeats | calendar
+
+    return (F.octet_length(url) > max_length) | T.let(segments(url), of)
 
 
 def is_listing(url: Column) -> Column:

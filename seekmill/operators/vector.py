@@ -35,14 +35,18 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray], text_c
     return chunks.mapInPandas(run, schema)
 
 
-def _as_column(vector: list[float]) -> Column:
-    return F.lit([float(x) for x in vector])
+def _similarity(vec: Column, query: list[float]) -> Column:
+    """Cosine with a query that is normalised here, once."""
+    q = np.asarray(query, np.float64)
+    q = q / (np.linalg.norm(q) or 1.0)
+    sim = T.let(T.norm(vec), lambda n: F.when(n > 0, T.dot(vec, F.lit([float(x) for x in q])) / n).otherwise(0.0))
+    return F.when(F.size(vec) == len(q), sim).otherwise(F.raise_error(F.lit(f"a vector hasn't the query's {len(q)} dimensions")))
 
 
 def vector_search(vectors: DataFrame, query: list[float], top_k: int = 10, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
     """The exact top_k by cosine similarity clamped to [0, 1], ties by id. The query is a literal of the plan; each
     task keeps top_k rows (TakeOrderedAndProject)."""
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), T.cosine(F.col(vec_col), _as_column(query)))), 6)
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), _similarity(F.col(vec_col), query))), 6)
     return vectors.select(F.col(id_col).alias("chunk_id"), score.alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
