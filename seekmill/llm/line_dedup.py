@@ -156,7 +156,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.arrays_zip(F.split(text, "\n").alias("line"), F.col(k).alias("keep"))
     left = F.transform(F.filter(lines, lambda x: F.coalesce(x["keep"], F.lit(True))), lambda x: x["line"])
     new = F.when(F.col(k).isNull(), text).otherwise(F.array_join(left, "\n"))
-    more = [F.coalesce(F.size(F.split(F.when(text != "", text), "\n")), F.lit(0)).alias("n_lines"), F.coalesce(F.size(F.filter(F.col(k), lambda x: ~x)), F.lit(0)).alias("n_deleted")] if counts else []
+    more = [F.coalesce(F.size(F.split(F.when(text != "", text), "\n")), F.lit(0)).alias(fresh(docs, "n_lines")), F.coalesce(F.size(F.filter(F.col(k), lambda x: ~x)), F.lit(0)).alias(fresh(docs, "n_deleted"))] if counts else []
     return joined.select(*(new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), *more)
 
 

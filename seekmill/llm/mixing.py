@@ -62,13 +62,14 @@ def mix_sources(
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
     rates = scratch.table(source_rates(docs, word_count(F.col(f"`{text_col}`")), source_col, weights, alpha, budget), "rates")
-    rates = rates.select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
+    name, rate, times = (fresh(docs, x) for x in ("_mix_source", "_mix_rate", "_mix_n"))
+    rates = rates.select(F.col("source").alias(name), F.col("rate").alias(rate))
     small = rates.count() <= BROADCAST_ROWS
     copy = fresh(docs, copy_col or "copy")
-    joined = docs.join(F.broadcast(rates) if small else rates, docs[f"`{source_col}`"].eqNullSafe(F.col("_mix_source")))
-    whole = F.floor("_mix_rate")
-    n = whole + F.when(uniform(F.col(f"`{id_col}`"), seed) < F.col("_mix_rate") - whole, 1).otherwise(0)
-    out = joined.withColumn("_mix_n", n).filter("_mix_n > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), (F.col("_mix_n") - 1).cast("int"))))
+    joined = docs.join(F.broadcast(rates) if small else rates, docs[f"`{source_col}`"].eqNullSafe(F.col(name)))
+    whole = F.floor(rate)
+    n = whole + F.when(uniform(F.col(f"`{id_col}`"), seed) < F.col(rate) - whole, 1).otherwise(0)
+    out = joined.withColumn(times, n).filter(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), (F.col(times) - 1).cast("int"))))
     return out.select(*(f"`{c}`" for c in docs.columns), *([copy] if copy_col else []))
 
 

@@ -57,8 +57,8 @@ class Rule:
             out &= (v > bound) if above else (v <= bound)
         return out
 
-    def column(self) -> Column:
-        return reduce(lambda a, b: a & b, ((F.col(f"_q.{n}") > F.lit(t)) if above else (F.col(f"_q.{n}") <= F.lit(t)) for n, above, t in self.conditions))
+    def column(self, stats: Column) -> Column:
+        return reduce(lambda a, b: a & b, ((stats[n] > F.lit(t)) if above else (stats[n] <= F.lit(t)) for n, above, t in self.conditions))
 
 
 @dataclass
@@ -163,9 +163,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
     return RuleModel(b, [chosen[i] for i in kept], [float(w[i]) for i in kept])
 
 
-def _with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
+def _with_statistics(docs: DataFrame, text_col: str, name: str = "_q") -> DataFrame:
     stats = statistics(F.col(f"`{text_col}`"))
-    return docs.withColumn("_q", F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
+    return docs.withColumn(name, F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
@@ -189,9 +189,10 @@ def score(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col:
     NULL and empty texts are scored as texts without words are. Repeated rows and NULL ids are scored each. The new
     columns get underscores in front where their names are taken. An empty table gives an empty result.
     """
-    z = reduce(lambda a, b: a + b, (F.when(r.column(), F.lit(w)).otherwise(0.0) for r, w in zip(model.rules, model.weights)), F.lit(model.intercept))
+    q = fresh(docs, "_q")
+    z = reduce(lambda a, b: a + b, (F.when(r.column(F.col(q)), F.lit(w)).otherwise(0.0) for r, w in zip(model.rules, model.weights)), F.lit(model.intercept))
     s, k = fresh(docs, score_col), fresh(docs, keep_col)
-    scored = _with_statistics(docs, text_col).withColumn(s, F.round(1 / (1 + F.exp(-z)), 6)).drop("_q")
+    scored = _with_statistics(docs, text_col, q).withColumn(s, F.round(1 / (1 + F.exp(-z)), 6)).drop(q)
     return scored.withColumn(k, F.col(f"`{s}`") >= threshold)
 
 
