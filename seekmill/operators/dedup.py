@@ -42,9 +42,14 @@ def block_masks(threshold: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _distinct(nodes: DataFrame, sim_col: str) -> DataFrame:
+    """The distinct hashes, written: both sides of a self-join would compute the hashes' UDF again."""
+    return Scratch(nodes.sparkSession, "simhash").table(nodes.select(sim_col).distinct(), "nodes")
+
+
 def near_pairs(nodes: DataFrame, threshold: int = THRESHOLD, sim_col: str = "simhash") -> DataFrame:
     """(a, b, distance) of distinct hashes a < b that differ in 1 to threshold bits."""
-    keyed = nodes.select(sim_col).distinct().select(F.col(sim_col).alias("s"), F.posexplode(F.transform(F.lit(block_masks(threshold)), lambda m: F.col(sim_col).bitwiseAND(m))).alias("c", "key"))
+    keyed = _distinct(nodes, sim_col).select(F.col(sim_col).alias("s"), F.posexplode(F.transform(F.lit(block_masks(threshold)), lambda m: F.col(sim_col).bitwiseAND(m))).alias("c", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.s") < F.col("b.s")))
     pairs = pairs.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), identity.hamming(F.col("a.s"), F.col("b.s")).alias("distance"))
@@ -55,7 +60,7 @@ def banded_pairs(nodes: DataFrame, threshold: int, bands: int = 8, sim_col: str
     """D2 by bands of 64 / bands bits, as an index of buckets does it; loses pairs once threshold >= bands."""
     width = 64 // bands
     keys = F.array(*(F.struct(F.lit(i).alias("c"), F.shiftrightunsigned(sim_col, 64 - width * (i + 1)).bitwiseAND((1 << width) - 1).alias("key")) for i in range(bands)))
-    keyed = nodes.select(sim_col).distinct().select(F.col(sim_col).alias("s"), F.inline(keys))
+    keyed = _distinct(nodes, sim_col).select(F.col(sim_col).alias("s"), F.inline(keys))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.c") == F.col("b.c")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.s") < F.col("b.s")))
     return pairs.select(F.col("a.s").alias("a"), F.col("b.s").alias("b"), identity.hamming(F.col("a.s"), F.col("b.s")).alias("distance")).filter(F.col("distance") <= threshold).distinct()
@@ -68,6 +73,7 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
     """D3: (id, status, match_id, distance) against all earlier documents: exact (same normalised text), near (the closest hash,
     then the earliest document) or new. docs has content_hash and simhash."""
+    docs = Scratch(docs.sparkSession, "classify").table(docs.select(id_col, "content_hash", "simhash"), "ids")  # read four times below
     nodes = docs.groupBy("simhash").agg(F.min(id_col).alias("first"))
     texts = docs.groupBy("content_hash").agg(F.min(id_col).alias("first_text"))
     pairs = _both_ways(near_pairs(nodes, threshold)).join(nodes.select(F.col("simhash").alias("b"), F.col("first").alias("other")), "b")
@@ -137,10 +143,10 @@ def register(registry: DataFrame, new: DataFrame) -> DataFrame:
         *(last(c) for c in registry.columns if c not in ("content_id", "urls", "chunk_ids", "source_ids")),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("urls")))).alias("urls"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("chunk_ids")))).alias("chunk_ids"),
-        *([F.transform(F.array_sort(F.collect_list(F.struct("_n", "source_ids"))), lambda s: s["source_ids"]).alias("_maps")] if "source_ids" in registry.columns else []),
+        *([F.transform(F.array_sort(F.collect_list(F.struct("_n", F.map_entries("source_ids").alias("e")))), lambda s: s["e"]).alias("_maps")] if "source_ids" in registry.columns else []),
     )
     if "source_ids" in registry.columns:
-        entries_ = F.flatten(F.transform("_maps", lambda m: F.map_entries(m)))
+        entries_ = F.flatten(F.filter("_maps", lambda m: m.isNotNull()))
         keys = F.array_distinct(F.transform(entries_, lambda e: e["key"]))
         merged = merged.withColumn("source_ids", F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries_, lambda e: e["key"] == k), -1)["value"])))
     return merged.select(*registry.columns)

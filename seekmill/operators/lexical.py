@@ -60,11 +60,12 @@ def parse_query(text: str) -> ParsedQuery:
     words = lambda s: [w for w in re.findall(r"[^\W_]+", s.lower()) if len(w.encode()) < MAX_TOKEN_BYTES]
     rest = re.sub(r'"([^"]*)"', lambda m: phrases.append(words(m[1])) or " ", text or "")
     rest = re.sub(r"\b(?:content|title|chunk_id|document_id):", " ", rest)
-    pending = ""
+    pending, optional = "", False  # optional: the last term was
     for raw in rest.split():
         if raw in ("AND", "OR", "NOT"):
-            if raw == "AND" and should:
+            if raw == "AND" and optional:
                 must.append(should.pop())
+                optional = False
             pending = raw
             continue
         found = words(raw)
@@ -74,6 +75,7 @@ def parse_query(text: str) -> ParsedQuery:
             must += found
         else:
             should += found
+        optional = bool(found) and should[-1:] == found[-1:] and pending not in ("NOT", "AND") and raw[0] not in "+-"
         pending = ""
     return ParsedQuery(should, must, must_not, [p for p in phrases if p])
 
