@@ -224,7 +224,7 @@ def h3(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.inertia(h2(spark, sf))
 
 
-@query("h4_document_vectors", f"WITH {CENTROIDS} SELECT label, list_transform(c, lambda x: round(x, 5)) AS centroid FROM cents")
+@query("h4_document_vectors", f"WITH {CENTROIDS} SELECT label, list_transform(c, lambda x: CASE WHEN round(x, 5) = 0 THEN 0 ELSE round(x, 5) END) AS centroid FROM cents")
 def h4(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.mean_vectors(table(spark, sf, "embeddings"), "label").select("label", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
 
@@ -251,7 +251,7 @@ def _clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("e2_embed", f"""WITH h AS (SELECT item_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h FROM benchmark)
-    SELECT item_id, list_transform({Q.unit("list_transform(range(16), lambda i: ((h + i) % 1000) / 500.0 - 1.0)")}, lambda x: round(x, 4)) AS v FROM h""")
+    SELECT item_id, list_transform({Q.unit("list_transform(range(16), lambda i: ((h + i) % 1000) / 500.0 - 1.0)")}, lambda x: CASE WHEN round(x, 4) = 0 THEN 0 ELSE round(x, 4) END) AS v FROM h""")
 def e2(spark: SparkSession, sf: str) -> DataFrame:
     import hashlib
 

@@ -65,7 +65,7 @@ ADS = f"""avgs AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embed
     cand AS (SELECT node_id, round(greatest(0, {Q.cosine("c", "e")}), 6) AS similarity FROM ads, q ORDER BY similarity DESC, node_id LIMIT 5)"""
 
 
-@query("g5_advertise", f"WITH {ADS} SELECT node_id, list_transform(c, lambda x: round(x, 5)) AS centroid, (SELECT count(*) FROM embeddings WHERE label = node_id) AS size FROM ads")
+@query("g5_advertise", f"WITH {ADS} SELECT node_id, list_transform(c, lambda x: CASE WHEN round(x, 5) = 0 THEN 0 ELSE round(x, 5) END) AS centroid, (SELECT count(*) FROM embeddings WHERE label = node_id) AS size FROM ads")
 def g5(spark: SparkSession, sf: str) -> DataFrame:
     return routing.advertise(_vectors(spark, sf), 32).select("node_id", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"), "size")
 
@@ -115,7 +115,13 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
     return routing.widen(g9(spark, sf)).select("widen")
 
 
-@query("g10_adaptive_search", f"WITH {SCORES}, {ADS} SELECT chunk_id, arg_min(node_id, [-score, node_id]) AS node_id, max(score) AS score FROM scores SEMI JOIN cand USING (node_id) GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 10")
+@query(
+    "g10_adaptive_search",
+    f"""WITH {SCORES}, {ADS}, head AS (SELECT chunk_id, max(score) AS score FROM scores SEMI JOIN cand USING (node_id) GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 10),
+    v AS (SELECT avg(score) AS a, count(*) AS n, CASE WHEN count(*) = 1 THEN 1 ELSE greatest(0, least(1, 1 - stddev_pop(score) / avg(score))) END AS c FROM head),
+    asked AS (SELECT node_id FROM cand UNION SELECT node_id FROM ads, v WHERE v.a < 0.3 OR v.n < 3 OR 0.3 + 0.3 * v.a + 0.2 * v.c + 0.2 * least(1, v.n / 5) < 0.5)
+    SELECT chunk_id, arg_min(node_id, [-score, node_id]) AS node_id, max(score) AS score FROM scores SEMI JOIN asked USING (node_id) GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 10""",
+)
 def g10_search(spark: SparkSession, sf: str) -> DataFrame:
     return routing.adaptive_search(_scores(spark, sf), routing.advertise(_vectors(spark, sf), 32), _query(spark, sf), F.col("score"))
 

@@ -64,7 +64,7 @@ def b8(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", identity.fast_hash(F.col("text")).alias("h"))
 
 
-@query("b9_cosine", f"WITH f AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY 1) SELECT vec_id, round({Q.cosine('embedding', 'e')}, 6) AS cosine FROM embeddings JOIN f USING (label)")
+@query("b9_cosine", f"WITH f AS (SELECT label, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY 1) SELECT vec_id, CASE WHEN abs({Q.cosine('embedding', 'e')}) < 0.0000005 THEN 0 ELSE round({Q.cosine('embedding', 'e')}, 6) END AS cosine FROM embeddings JOIN f USING (label)")
 def b9(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings")
     first = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("e"))
@@ -75,12 +75,12 @@ def _rounded(v):
     return F.transform(v, lambda x: F.round(x, 5))
 
 
-@query("b10_unit", f"SELECT vec_id, list_transform({Q.unit('list_transform(embedding, lambda x: x * 3)')}, lambda x: round(x, 5)) AS v FROM embeddings")
+@query("b10_unit", f"SELECT vec_id, list_transform({Q.unit('list_transform(embedding, lambda x: x::DOUBLE * 3)')}, lambda x: CASE WHEN round(x, 5) = 0 THEN 0 ELSE round(x, 5) END) AS v FROM embeddings")
 def b10(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", _rounded(T.unit(F.transform("embedding", lambda x: (x * 3).cast("float")))).alias("v"))
+    return table(spark, sf, "embeddings").select("vec_id", _rounded(T.unit(F.transform("embedding", lambda x: x.cast("double") * 3))).alias("v"))
 
 
-@query("b11_truncate_dims", f"SELECT vec_id, list_transform({Q.unit('embedding[1:16]')}, lambda x: round(x, 5)) AS v FROM embeddings")
+@query("b11_truncate_dims", f"SELECT vec_id, list_transform({Q.unit('embedding[1:16]')}, lambda x: CASE WHEN round(x, 5) = 0 THEN 0 ELSE round(x, 5) END) AS v FROM embeddings")
 def b11(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", _rounded(T.truncate_dims(F.col("embedding"), 16)).alias("v"))
 
@@ -89,7 +89,7 @@ def b11(spark: SparkSession, sf: str) -> DataFrame:
     "b12_hash_embedding",
     f"""WITH h AS (SELECT doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
     e AS (SELECT doc_id, list_transform(range(8), lambda i: ((h + i) % 1000) / 500.0 - 1.0) AS v FROM h)
-    SELECT doc_id, list_transform({Q.unit("v")}, lambda x: round(x, 5)) AS v FROM e""",
+    SELECT doc_id, list_transform({Q.unit("v")}, lambda x: CASE WHEN round(x, 5) = 0 THEN 0 ELSE round(x, 5) END) AS v FROM e""",
 )
 def b12(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", _rounded(T.hash_embedding(F.col("text"), 8)).alias("v"))
