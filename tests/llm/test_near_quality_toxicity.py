@@ -34,6 +34,18 @@ def test_a_bucket_of_many_groups_is_searched_to_the_end(spark):
     assert got == brute.near([(i, t) for i, t, _ in rows], nd.THRESHOLD)
 
 
+def test_copies_that_are_alike_their_original_only(spark):
+    """Hundreds of copies, each edited on its own: two of them are rarely alike, but all are alike the original."""
+    rng = random.Random(8)
+    original = [f"w{n}" for n in range(300)]
+    texts = [original] + [[f"x{rng.random()}" if rng.random() < 0.06 else w for w in original] for _ in range(200)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t), "s") for i, t in enumerate(texts)]
+    want = brute.near([(i, t) for i, t, _ in rows], nd.THRESHOLD)
+    got = {r.doc_id: r.keeper_id for r in nd.near_duplicates(brute.table(spark, rows)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(6)
     for share in (0.2, 0.6, 0.9):
