@@ -1,9 +1,10 @@
 """Toxicity by noisy-channel deobfuscation (operator 2).
 
 A character trigram model is counted over all documents. Spans in which letters may be written in disguise (digits and signs for
-letters, letters repeated three times or more, letters spaced out) become lattices of what each sign may
+letters, wherever they stand, letters repeated, letters spaced out, zero-width signs) become lattices of what each sign may
 stand for; Viterbi decoding under the model, with a cost for every disguise assumed, restores the likeliest text. Other text
-has one reading only and stays. Restored documents are scored with terms learned from labelled ones.
+has one reading only and stays. Documents are scored with terms learned from labelled ones, found in the text or in the restored text. Tokens without
+a letter (numbers) have no lattice.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 #: Labelled documents the terms are learned from: all if there are fewer, else those with the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 20_000
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-LEET_COST, DROP_COST, RUN_COST = 1.5, 0.7, 0.7
+LEET_COST, DROP_COST, RUN_COST, PAIR_COST = 1.5, 0.7, 0.7, 2.0
 #: Natural log of the chance, under no association, up to which a term counts as toxic.
 MAX_LOG_P = -12.0
 CACHE_SPANS = 200_000
@@ -34,11 +35,14 @@ _X = "".join(re.escape(c) for c in LEET)
 _L = r"[^\W\d_]"
 _SPACE = re.compile(r"\s").search
 _FLAG_LETTER, _FLAG_LEET, _FLAG_SEP = 1, 2, 4
-_FLAGS = np.array([_FLAG_LEET if chr(c) in LEET else _FLAG_LETTER if chr(c).isalpha() else _FLAG_SEP if chr(c) in " .-_*" else 0 for c in range(0x250)], np.uint8)
+_FLAGS = np.array([_FLAG_LEET if chr(c) in LEET else _FLAG_LETTER if chr(c).isalpha() else _FLAG_SEP if chr(c) in " .-_*/" else 0 for c in range(0x250)], np.uint8)
+#: Signs of no width, which may stand inside words.
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_DROP_HIDDEN = re.compile(f"[{_HIDDEN}]+")
 _SPANS = re.compile(
-    rf"(?<![\w{_X}])(?:{_L}|[{_X}])(?:[ .\-_*]{{1,2}}(?:{_L}|[{_X}])){{3,}}(?![\w{_X}])"  # spaced out
-    rf"|(?:{_L}|[{_X}])*(?:{_L}[{_X}]+{_L}|(?<![\w{_X}])[{_X}]{_L}{{2}}|({_L})\1\1)(?:{_L}|[{_X}])*"  # disguised or repeated within
-    rf"|{_L}{{3,}}[$5]{{1,2}}(?![\w{_X}])"  # at the end
+    rf"(?<![\w{_X}])(?:{_L}|[{_X}])(?:[ .\-_*/]{{1,2}}(?:{_L}|[{_X}])){{3,}}(?![\w{_X}])"  # spaced out
+    rf"|(?:{_L}+[{_X}]|[{_X}]+{_L})(?:{_L}|[{_X}])*"  # letters mixed with signs
+    rf"|{_L}*?({_L})\1(?:{_L}|[{_X}])*"  # repeated within
 )
 
 
@@ -50,8 +54,10 @@ def _table(lut: np.ndarray, codes: np.ndarray, other: int) -> np.ndarray:
     out = lut[np.minimum(codes, len(lut) - 1)]
     if len(codes) and codes.max() >= len(lut):
         out[codes >= len(lut)] = other
-        if "œ" and lut is _LUT:
+        if lut is _LUT:
             out[codes == 0x153] = _ID["œ"]
+        elif lut is _FLAGS:
+            out[codes == 0x20AC] = _FLAG_LEET  # the euro sign
     return out
 
 
@@ -92,7 +98,7 @@ class CharModel:
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """For each place of the span the strings it may stand for and their costs."""
-        spaced = re.fullmatch(rf"(?:{_L}|[{_X}])(?:[ .\-_*]{{1,2}}(?:{_L}|[{_X}]))+", span) is not None
+        spaced = re.fullmatch(rf"(?:{_L}|[{_X}])(?:[ .\-_*/]{{1,2}}(?:{_L}|[{_X}]))+", span) is not None
         out, i = [], 0
         while i < len(span):
             c, j = span[i], i + 1
@@ -102,9 +108,11 @@ class CharModel:
             if c in LEET:
                 options = [(c * n, 0.0)]
                 for x in LEET[c]:
-                    options += [(x * m, LEET_COST * min(n, 2) + RUN_COST * (m != n)) for m in ((n,) if n < 3 else (1, 2))]
+                    options += [(x * m, LEET_COST * min(n, 2) + RUN_COST * (m != n)) for m in ((n,) if n == 1 else (1, 2))]
             elif c.isalpha() and n > 2:
                 options = [(c, RUN_COST), (c + c, RUN_COST), (c * n, 0.0)]
+            elif c.isalpha() and n == 2:
+                options = [(c, PAIR_COST), (c + c, 0.0)]
             elif spaced and not c.isalnum():
                 options = [(" ", 0.0), ("", DROP_COST / 4)]
             else:
@@ -133,7 +141,7 @@ class CharModel:
                     if s not in after or t < after[s][0]:
                         after[s] = (t, text + string)
             beams = after
-        best = min(((t + cost[s << 6], text) for s, (t, text) in beams.items()))[1]
+        best = min(((t + (cost[s << 6] if s & 63 else 0.0), text) for s, (t, text) in beams.items()))[1]
         if len(self.cache) < CACHE_SPANS:
             self.cache[span] = best
         return best
@@ -143,11 +151,14 @@ class CharModel:
         joined = "\n".join(texts)
         if not joined:
             return texts
+        if _DROP_HIDDEN.search(joined):
+            texts = [_DROP_HIDDEN.sub("", t) for t in texts]
+            joined = "\n".join(texts)
         flags = _table(_FLAGS, codes := _codes(joined), _FLAG_LETTER)
         letter, leet = flags == _FLAG_LETTER, flags == _FLAG_LEET
         found = np.zeros(len(flags), bool)
         found[:-1] |= (letter[:-1] & leet[1:]) | (leet[:-1] & letter[1:])
-        found[:-2] |= letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
+        found[:-1] |= letter[:-1] & (codes[:-1] == codes[1:])
         sign, sep = letter | leet, flags == _FLAG_SEP
         alone = sign.copy()
         alone[1:] &= ~sign[:-1]
@@ -303,7 +314,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for at in range(0, len(pdf), 128):
                 part = pdf.iloc[at : at + 128]
                 texts = [t.lower() if t else "" for t in part["text"]]
-                found = [sorted(terms.find(automaton, t)) if terms.weights and t else [] for t in model.restore(texts)]
+                found = [sorted(terms.find(automaton, t) | (terms.find(automaton, r) if r != t else set())) if terms.weights and t else [] for t, r in zip(texts, model.restore(texts))]
                 odds = [terms.base + sum(terms.weights[f] for f in fs) for fs in found]
                 score = [round(1 / (1 + math.exp(-max(-700, min(700, o)))), 6) if fs else 0.0 for o, fs in zip(odds, found)]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "score": score, "toxic": [s >= threshold for s in score], "terms": found})

@@ -129,6 +129,15 @@ def test_toxicity_finds_plain_and_disguised_terms(spark, sf_dir):
     assert found >= 0.85 * len(clean)
 
 
+def test_disguises_of_every_sign_and_place_are_read(spark):
+    docs = brute.table(spark, [(i, "an idiot talks garbage and stupid shit about the big table; hello letter will book", "s") for i in range(50)])
+    model = toxicity.CharModel(toxicity.trigram_counts(docs))
+    for word, disguised in (("idiot", "idio7"), ("idiot", "1d107"), ("garbage", "garbag3"), ("shit", "5h17"), ("big", "8i9"), ("table", "t48l€"), ("stupid", "stuupid"), ("idiot", "iddiiott"), ("idiot", "i/d/i/o/t"), ("idiot", "id\u200bio\u200dt")):
+        assert word in model.restore([f"and {disguised} talks"])[0].split(), disguised
+    for clean in ("hello!", "letter", "will", "book", "garbage!"):
+        assert model.restore([f"and {clean} talks"]) == [f"and {clean} talks"]
+
+
 def test_toxicity_of_nasty_rows(spark):
     docs = brute.nasty(spark, "toxic score terms")
     labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (6, None)], "doc_id bigint, toxic int")
