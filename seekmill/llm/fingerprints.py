@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekmill.llm.common import Scratch
+
 MIN_BYTES, NORMAL_BYTES, MAX_BYTES = 64, 256, 1024
 STRICT_BITS, LOOSE_BITS = 9, 7
 _GEAR = np.random.default_rng(20250713).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -140,3 +142,28 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.5)
     both = pairs.join(l, "left_id").join(right.select(F.col("doc_id").alias("right_id"), "digest"), ["right_id", "digest"])
     share = F.round(F.sum("weight") / F.first("total"), 6)
     return both.groupBy("left_id", "right_id").agg(share.alias("containment")).filter(F.col("containment") >= threshold)
+
+
+def corpus_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, other_id, containment): which document holds at least threshold of the weight of which.
+
+    Documents with equal chunk sets are a group, named by its smallest id: its other members are paired with that one only, at 1.0,
+    and pairs of different groups are those of their first documents. So copies cost one row each. NULL ids, equal
+    ids and empty texts as in corpus_containment(); an empty table gives none.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "containment")
+    each = chunk_digests(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "digest", "weight").distinct()
+    each = scratch.table(each, "chunks")
+    # a set is known by its number of chunks and two sums of their hashes
+    wide = lambda seed: F.sum(F.xxhash64("digest", F.lit(seed)).cast("decimal(38,0)"))
+    sets = each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), wide(1).alias("a"), wide(2).alias("b"))
+    groups = sets.groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
+    named = scratch.table(sets.join(groups, ["n", "a", "b"]).select("doc_id", "first"), "groups")
+    copies = named.filter("doc_id <> first").select("doc_id", F.col("first").alias("other_id"), F.lit(1.0).alias("containment"))
+    firsts = scratch.table(each.join(named.filter("doc_id = first").select("doc_id"), "doc_id", "left_semi"), "firsts")
+    held = firsts.groupBy("digest").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("digest")
+    # a chunk of one group alone finds no partner, but counts in the weight of its document
+    pairs = containment_pairs(firsts, firsts.join(held, "digest", "left_semi"), threshold).filter("left_id <> right_id")
+    out = copies.union(pairs.select("left_id", "right_id", "containment"))
+    known = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
+    return out.select(known("doc_id"), known("other_id"), "containment")

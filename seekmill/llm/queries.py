@@ -36,6 +36,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.corpus_containment(_documents(spark, sf_dir))
 
 
+def op5_containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document contains which."""
+    return fingerprints.corpus_pairs(_documents(spark, sf_dir))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mixing": op4_mixing,
     "op5_fingerprints": op5_fingerprints,
+    "op5_containment_pairs": op5_containment_pairs,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_near_dedup": op7_near_dedup,
     "op8_line_dedup": op8_line_dedup,

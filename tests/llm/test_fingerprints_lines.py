@@ -40,6 +40,26 @@ def test_an_insertion_changes_few_chunks(spark):
     assert len(got) == 1 and got[0].containment > 0.9
 
 
+def test_registered_pairs_are_those_of_first_documents(spark, sf_dir):
+    from seekmill.llm.queries import QUERIES
+
+    chunks, first = {}, {}
+    for r in fp.chunk_digests(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect():
+        chunks.setdefault(r.doc_id, {})[r.digest] = r.weight
+    want = {}
+    for i in sorted(chunks):
+        f = first.setdefault(frozenset(chunks[i]), i)
+        if f != i:
+            want[i, f] = 1.0
+    for i in first.values():
+        for j in first.values():
+            share = sum(w for d, w in chunks[i].items() if d in chunks[j]) / sum(chunks[i].values())
+            if i != j and share >= 0.5:
+                want[i, j] = share
+    got = {(r.doc_id, r.other_id): r.containment for r in QUERIES["op5_containment_pairs"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want) and 1.0 in want.values()
+
+
 def test_containment_is_that_of_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chunks = {}
