@@ -25,8 +25,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines are cut; n_chars follows the text, and documents of which nothing is left go."""
-    return line_dedup.line_dedup(docs).filter("text IS NULL OR text <> ''").withColumn("n_chars", F.length("text").cast("bigint"))
+    """Later copies of repeated runs of lines are cut; n_chars follows the text, and documents of which lines were cut and nothing is left go."""
+    left = line_dedup.line_dedup(docs, counts=True).filter("n_deleted = 0 OR text <> ''")
+    return left.drop("n_lines", "n_deleted").withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,9 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.collect() == []
+
+
+def test_documents_that_came_in_empty_stay(spark, sf_dir):
+    run = " ".join(f"w{n}" for n in range(60))
+    docs = brute.table(spark, [(1, run, "a"), (2, run, "a"), (3, "", "a"), (4, None, "a")])
+    assert sorted(r.doc_id for r in cp.dedup_lines(spark, docs, sf_dir).collect()) == [1, 3, 4]
