@@ -7,6 +7,7 @@ compiled to one Spark column expression, so scoring runs inside the JVM over who
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,34 +15,43 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekmill.llm.common import WORD, fresh
+from seekmill.functions.text import let
+from seekmill.llm.common import fresh
 
 #: Labelled documents that train the model: all if there are fewer, else those with the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.5
+NAMES = "chars word_length symbols stops commas shouts bars digits capitals distinct_words distinct_lines words_per_line".split()
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, each a column expression of numbers; NULL counts as empty."""
+def statistics(text: Column) -> Column:
+    """Statistics of a whole text, a structure of the doubles NAMES; NULL counts as empty. Words stand between ASCII white space.
+    What several statistics need is bound once a row."""
     t = F.coalesce(text.cast("string"), F.lit(""))
-    chars, words = F.length(t), F.regexp_count(t, F.lit(WORD))
-    lines = F.split(t, "\n")
-    split = F.split(t, "[ \n]+")
-    per = lambda pattern: F.regexp_count(t, F.lit(pattern)) / F.greatest(chars, F.lit(1))
-    return {
-        "chars": F.log1p(chars.cast("double")),
-        "word_length": F.length(F.regexp_replace(t, r"[ \t\n\x0B\f\r]+", "")) / F.greatest(words, F.lit(1)),
-        "symbols": per(r"[#*%&$@~^_=+<>\\/{}\[\]]"),
-        "stops": per(r"[.!?]"),
-        "commas": per(r"[,;:]"),
-        "shouts": per(r"!"),
-        "bars": per(r"\|"),
-        "digits": per(r"[0-9]"),
-        "capitals": per(r"\p{Lu}"),
-        "distinct_words": F.size(F.array_distinct(split)) / F.greatest(F.size(split), F.lit(1)),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1)),
-        "words_per_line": F.log1p(words / F.size(lines)),
-    }
+    chars = F.length(t)
+
+    def of(signs: Column, pieces: Column, words: Column, lines: Column) -> Column:
+        n, n_lines = F.size(words), F.size(lines)
+        per = lambda pattern: F.regexp_count(signs, F.lit(pattern)) / F.greatest(chars, F.lit(1))
+        found = (
+            F.log1p(chars.cast("double")),
+            (chars - F.size(pieces) + 1) / F.greatest(n, F.lit(1)),
+            per(r"[#*%&$@~^_=+<>\\/{}\[\]]"),
+            per(r"[.!?]"),
+            per(r"[,;:]"),
+            per("!"),
+            per(r"\|"),
+            per("[0-9]"),
+            per(r"\p{Lu}"),
+            F.size(F.array_distinct(words)) / F.greatest(n, F.lit(1)),
+            F.size(F.array_distinct(lines)) / n_lines,
+            F.log1p(n / n_lines),
+        )
+        return F.struct(*(c.cast("double").alias(name) for name, c in zip(NAMES, found)))
+
+    signs = F.regexp_replace(t, "[a-z \n]+", "")  # none of these is counted, and the rest is short
+    with_words = lambda s, p: let(F.array_remove(p, ""), lambda w: let(F.split(t, "\n"), lambda x: of(s, p, w, x)))
+    return let(signs, lambda s: let(F.split(t, r"[ \t\n\x0B\f\r]"), lambda p: with_words(s, p)))
 
 
 @dataclass(frozen=True)
@@ -163,42 +173,54 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, d
     return RuleModel(b, [chosen[i] for i in kept], [float(w[i]) for i in kept])
 
 
-def _with_statistics(docs: DataFrame, text_col: str, name: str = "_q") -> DataFrame:
-    stats = statistics(F.col(f"`{text_col}`"))
-    return docs.withColumn(name, F.struct(*(c.cast("double").alias(n) for n, c in stats.items())))
+def log_odds(text: Column, model: RuleModel) -> Column:
+    """The model's log odds of a text. The statistics are bound once a row, so that a filter on the result doesn't repeat
+    them for each rule, and the rules are no part of the generated code, whose size is limited."""
+    if not model.rules:
+        return F.lit(model.intercept)
+    return let(statistics(text), lambda s: reduce(lambda a, b: a + b, (F.when(r.column(s), F.lit(w)).otherwise(0.0) for r, w in zip(model.rules, model.weights)), F.lit(model.intercept)))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> RuleModel:
     """Fit on at most max_rows labelled documents (statistics of whole texts; a few numbers a row reach the driver).
-    A document with several labels counts with the lowest; NULL ids, labels and texts don't train."""
+    A document with several labels counts with the lowest, one with several rows once, with the smallest statistics; NULL ids,
+    labels and texts don't train. The model depends on no order of rows."""
     lab = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).dropna().groupBy("_id").agg(F.min("_y").alias("_y"))
     lab = lab.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).filter("_text IS NOT NULL")
-    rows = _with_statistics(texts.join(F.broadcast(lab), "_id"), "_text").select("_y", F.array("_q.*").alias("x"))  # max_rows bounds the broadcast
-    rows = rows.limit(2 * max_rows).toPandas()
-    names = list(statistics(F.lit("")))
-    x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(names))
+    x = let(statistics(F.col("_text")), lambda q: F.array(*(q[n] for n in NAMES)))
+    rows = texts.join(F.broadcast(lab), "_id").select("_id", "_y", x.alias("x"))  # max_rows bounds the broadcast
+    rows = rows.groupBy("_id").agg(F.first("_y").alias("_y"), F.min("x").alias("x")).toPandas()
+    x = np.array(rows["x"].tolist(), np.float64).reshape(-1, len(NAMES))
     y = (rows["_y"].to_numpy() > 0).astype(np.int64)
     order = np.lexsort((*x.T, y))  # rows come in any order; the model doesn't depend on it
-    return fit_rules(x[order], y[order], names)
+    return fit_rules(x[order], y[order], NAMES)
+
+
+def _cut(threshold: float) -> float:
+    """The log odds of a probability."""
+    return -math.inf if threshold <= 0 else math.inf if threshold >= 1 else math.log(threshold / (1 - threshold))
 
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text", score_col: str = "score", keep_col: str = "keep", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the probability of good quality (rounded to 6 places) and whether it reaches the threshold.
+    """docs with the probability of good quality (rounded to 6 places) and whether it reaches the threshold, before rounding.
 
-    NULL and empty texts are scored as texts without words are. Repeated rows and NULL ids are scored each. The new
-    columns get underscores in front where their names are taken. An empty table gives an empty result.
+    NULL and empty texts are scored as texts without words are; texts of any length are read whole. Repeated rows and NULL ids are
+    scored each; equal texts get equal scores, and a score that ties with the threshold is kept. The new columns get underscores
+    in front where their names are taken. An empty table gives an empty result.
     """
-    q = fresh(docs, "_q")
-    z = reduce(lambda a, b: a + b, (F.when(r.column(F.col(q)), F.lit(w)).otherwise(0.0) for r, w in zip(model.rules, model.weights)), F.lit(model.intercept))
+    z = fresh(docs, "_z")
     s, k = fresh(docs, score_col), fresh(docs, keep_col)
-    scored = _with_statistics(docs, text_col, q).withColumn(s, F.round(1 / (1 + F.exp(-z)), 6)).drop(q)
-    return scored.withColumn(k, F.col(f"`{s}`") >= threshold)
+    scored = docs.withColumn(z, log_odds(F.col(f"`{text_col}`"), model))
+    return scored.withColumns({s: F.round(1 / (1 + F.exp(-F.col(z))), 6), k: F.col(z) >= F.lit(_cut(threshold))}).drop(z)
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier, trained on those of them that are labelled, doesn't reject, with their columns."""
+    """The documents that the classifier, trained on those of them that are labelled, doesn't reject, with all their columns.
+
+    Rows are judged one by one, as in score(): NULL and empty texts as texts without words, very long ones whole, NULL ids and repeated
+    rows each, ties with the threshold stay. Without labels, or with labels of good documents only, all stay. An empty table gives
+    an empty result; no column is added, so no name can clash.
+    """
     model = train(docs, labels, id_col, text_col, label_col)
-    scored = score(docs, model, text_col, threshold=threshold)
-    keep = scored.columns[-1]
-    return scored.filter(F.col(f"`{keep}`")).select(*(f"`{c}`" for c in docs.columns))
+    return docs.filter(log_odds(F.col(f"`{text_col}`"), model) >= F.lit(_cut(threshold)))
