@@ -33,34 +33,57 @@ _ID = {c: 3 + i for i, c in enumerate(_ALPHABET)}
 _LUT = np.array([_ID.get(chr(c), 2 if chr(c).isdigit() else 1 if chr(c).isalpha() else 0) for c in range(0x250)], np.uint8)
 _X = "".join(re.escape(c) for c in LEET)
 _L = r"[^\W\d_]"
-_SPACE = re.compile(r"\s").search
-_FLAG_LETTER, _FLAG_LEET, _FLAG_SEP = 1, 2, 4
-_FLAGS = np.array([_FLAG_LEET if chr(c) in LEET else _FLAG_LETTER if chr(c).isalpha() else _FLAG_SEP if chr(c) in " .-_*/" else 0 for c in range(0x250)], np.uint8)
+_SPACED = re.compile(rf"(?:{_L}|[{_X}])(?:[ .\-_*/]{{1,2}}(?:{_L}|[{_X}]))+").fullmatch
+_FLAG_LETTER, _FLAG_LEET, _FLAG_SEP, _FLAG_OTHER = 1, 2, 4, 8
+_flags: list[np.ndarray] = []
 #: Signs of no width, which may stand inside words.
 _HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _DROP_HIDDEN = re.compile(f"[{_HIDDEN}]+")
-_SPANS = re.compile(
-    rf"(?<![\w{_X}])(?:{_L}|[{_X}])(?:[ .\-_*/]{{1,2}}(?:{_L}|[{_X}])){{3,}}(?![\w{_X}])"  # spaced out
-    rf"|(?:{_L}+[{_X}]|[{_X}]+{_L})(?:{_L}|[{_X}])*"  # letters mixed with signs
-    rf"|{_L}*?({_L})\1(?:{_L}|[{_X}])*"  # repeated within
-)
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _table(lut: np.ndarray, codes: np.ndarray, other: int) -> np.ndarray:
-    out = lut[np.minimum(codes, len(lut) - 1)]
-    if len(codes) and codes.max() >= len(lut):
-        out[codes >= len(lut)] = other
-        if lut is _LUT:
-            out[codes == 0x153] = _ID["œ"]
-        elif lut is _FLAGS:
-            out[codes == 0x20AC] = _FLAG_LEET  # the euro sign
+def _symbols(codes: np.ndarray) -> np.ndarray:
+    out = _LUT[np.minimum(codes, len(_LUT) - 1)]
+    if len(codes) and codes.max() >= len(_LUT):
+        out[codes >= len(_LUT)] = 1
+        out[codes == 0x153] = _ID["œ"]
     return out
 
 
+def _flag_table() -> np.ndarray:
+    """What each character may be in a span; made once a worker."""
+    if not _flags:
+        kind = lambda c: _FLAG_LEET if c in LEET else _FLAG_LETTER if c.isalpha() else _FLAG_SEP if c in " .-_*/" else _FLAG_OTHER if c.isalnum() else 0
+        _flags.append(np.fromiter(map(kind, map(chr, range(0x110000))), np.uint8, 0x110000))
+    return _flags[0]
+
+
+def find_spans(text: str) -> list[tuple[int, int]]:
+    """Where a text may be disguised, in linear time: runs of letters and signs that hold both, or the same letter twice in a row, and
+    four or more single letters or signs with one or two separators between any two."""
+    codes = _codes(text)
+    flags = _flag_table()[codes]
+    letter = flags == _FLAG_LETTER
+    sign = letter | (flags == _FLAG_LEET)
+    edge = np.flatnonzero(np.diff(sign.view(np.int8), prepend=0, append=0))
+    begin, end = edge[::2], edge[1::2]
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    twice = np.concatenate([[0, 0], np.cumsum(letter[1:] & (codes[1:] == codes[:-1]))])
+    own = letters[end] - letters[begin]
+    run = ((own > 0) & (own < end - begin)) | (twice[end] > twice[begin + 1])
+    spans = list(zip(begin[run].tolist(), end[run].tolist()))
+    other = np.concatenate([[False], flags == _FLAG_OTHER, [False]])
+    lone = begin[(end - begin == 1) & ~other[begin] & ~other[begin + 2]]
+    if len(lone) > 3:
+        sep, gap = flags == _FLAG_SEP, np.diff(lone)
+        near = sep[lone[:-1] + 1] & ((gap == 2) | ((gap == 3) & sep[np.minimum(lone[:-1] + 2, len(sep) - 1)]))
+        edge = np.flatnonzero(np.diff(near.view(np.int8), prepend=0, append=0))
+        spans += [(int(lone[a]), int(lone[b]) + 1) for a, b in zip(edge[::2], edge[1::2]) if b - a > 2]
+        spans.sort()
+    return spans
+
+
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts [64, 64, 64] of character trigrams of all lower-cased texts, runs of non-letters being one blank. Partial sums per task, one shuffle."""
 
@@ -68,7 +91,7 @@ def trigram_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(_SYMBOLS**3, np.int64)
         for pdf in batches:
             for at in range(0, len(pdf), 128):
-                ids = _table(_LUT, _codes("\n\n".join(["", *pdf["text"].iloc[at : at + 128].str.lower(), ""])), 1)
+                ids = _symbols(_codes("\n\n".join(["", *pdf["text"].iloc[at : at + 128].str.lower(), ""])))
                 ids = ids[np.concatenate([[True], (ids[1:] != 0) | (ids[:-1] != 0)])].astype(np.int32)
                 total += np.bincount((ids[:-2] << 12) + (ids[1:-1] << 6) + ids[2:], minlength=_SYMBOLS**3)
         code = np.flatnonzero(total)
@@ -96,104 +119,106 @@ class CharModel:
     def __reduce__(self):
         return (_restore_model, (np.array(self.cost, np.float32),))
 
-    def lattice(self, span: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, span: str) -> Iterator[list[tuple[str, float]]]:
         """For each place of the span the strings it may stand for and their costs."""
-        spaced = re.fullmatch(rf"(?:{_L}|[{_X}])(?:[ .\-_*/]{{1,2}}(?:{_L}|[{_X}]))+", span) is not None
-        out, i = [], 0
+        spaced = _SPACED(span) is not None
+        i = 0
         while i < len(span):
             c, j = span[i], i + 1
             while j < len(span) and span[j] == c:
                 j += 1
             n = j - i
+            options = [(c * n, 0.0)]
             if c in LEET:
-                options = [(c * n, 0.0)]
                 for x in LEET[c]:
                     options += [(x * m, LEET_COST * min(n, 2) + RUN_COST * (m != n)) for m in ((n,) if n == 1 else (1, 2))]
             elif c.isalpha() and n > 2:
-                options = [(c, RUN_COST), (c + c, RUN_COST), (c * n, 0.0)]
+                options = [(c, RUN_COST), (c + c, RUN_COST), *options]
             elif c.isalpha() and n == 2:
-                options = [(c, PAIR_COST), (c + c, 0.0)]
+                options = [(c, PAIR_COST), *options]
             elif spaced and not c.isalnum():
                 options = [(" ", 0.0), ("", DROP_COST / 4)]
-            else:
-                options = [(c * n, 0.0)]
-            out.append(options)
+            yield options
             i = j
-        return out
 
     def decode(self, span: str) -> str:
-        """The likeliest reading of a span (lower case), by exact Viterbi search over the lattice."""
+        """The likeliest reading of a span (lower case), by exact Viterbi search over the lattice; of equally likely ones the first in order.
+
+        Linear in the span: paths are kept as links to their beginnings, and what all paths share is written out.
+        """
         if span in self.cache:
             return self.cache[span]
         cost = self.cost
-        beams: dict[int, tuple[float, str]] = {0: (0.0, "")}  # state: the last two symbols
+        done: list[str] = []
+        beams: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # state: the last two symbols; path: (path before, string)
         for options in self.lattice(span):
-            after: dict[int, tuple[float, str]] = {}
-            for state, (total, text) in beams.items():
+            if len(beams) == 1:
+                (state, (_, path)), *_ = beams.items()
+                done.append(_spell(path))
+                if len(options) == 1:  # no choice, so no cost tells anything
+                    for ch in options[0][0]:
+                        x = _symbol(ch)
+                        if x or state & 63:
+                            state = (state & 63) << 6 | x
+                    done.append(options[0][0])
+                    beams = {state: (0.0, None)}
+                    continue
+                beams = {state: (0.0, None)}
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (total, path) in beams.items():
                 for string, price in options:
                     s, t = state, total + price
                     for ch in string:
-                        x = _ID.get(ch) or (2 if ch.isdigit() else 1 if ch.isalpha() else 0)
+                        x = _symbol(ch)
                         if x == 0 and s & 63 == 0:
                             continue
                         t += cost[(s << 6) + x]
                         s = (s & 63) << 6 | x
                     if s not in after or t < after[s][0]:
-                        after[s] = (t, text + string)
+                        after[s] = (t, (path, string))
             beams = after
-        best = min(((t + (cost[s << 6] if s & 63 else 0.0), text) for s, (t, text) in beams.items()))[1]
-        if len(self.cache) < CACHE_SPANS:
+        done.append(min((t + (cost[s << 6] if s & 63 else 0.0), _spell(path)) for s, (t, path) in beams.items())[1])
+        best = "".join(done)
+        if len(self.cache) < CACHE_SPANS and len(span) < 64:
             self.cache[span] = best
         return best
 
     def restore(self, texts: list[str]) -> list[str]:
-        """Lower-cased texts with their disguised spans decoded. Only texts that may hold one are searched by expression."""
+        """Lower-cased texts with their disguised spans decoded, and without signs of no width."""
         joined = "\n".join(texts)
-        if not joined:
-            return texts
         if _DROP_HIDDEN.search(joined):
             texts = [_DROP_HIDDEN.sub("", t) for t in texts]
             joined = "\n".join(texts)
-        flags = _table(_FLAGS, codes := _codes(joined), _FLAG_LETTER)
-        letter, leet = flags == _FLAG_LETTER, flags == _FLAG_LEET
-        found = np.zeros(len(flags), bool)
-        found[:-1] |= (letter[:-1] & leet[1:]) | (leet[:-1] & letter[1:])
-        found[:-1] |= letter[:-1] & (codes[:-1] == codes[1:])
-        sign, sep = letter | leet, flags == _FLAG_SEP
-        alone = sign.copy()
-        alone[1:] &= ~sign[:-1]
-        alone[:-1] &= ~sign[1:]
-        after = alone[:-1] & sep[1:]  # a lone sign with a separator behind it, and another within two places
-        if len(flags) > 3:
-            step = after[:-2] & (alone[2:-1] | (sep[2:-1] & alone[3:]))
-            found[: len(step)] |= step
-        at = np.flatnonzero(found)
-        if not len(at):
-            return texts
-        begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-        # marks near each other are one stretch, widened to white space on both sides
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at) > 5]))
-        low, high = at[first], at[np.concatenate([first[1:] - 1, [len(at) - 1]])]
-        owner = np.searchsorted(begins, low, side="right") - 1
-        out, parts, done = list(texts), [], -1
-        for i, lo, hi in zip(owner.tolist(), (low - begins[owner]).tolist(), (high - begins[owner]).tolist()):
-            text = texts[i]
-            if i != done:
-                if parts:
-                    out[done] = "".join([*parts, texts[done][end:]])
-                parts, end, done = [], 0, i
-            stop = _SPACE(text, min(hi + 5, len(text)))
-            stop = stop.start() if stop else len(text)
-            start = max(text.rfind(" ", end, lo), text.rfind("\n", end, lo), text.rfind("\t", end, lo), end - 1) + 1
-            if start >= stop:
-                continue
-            parts += [text[end:start], _SPANS.sub(lambda m: self.decode(m[0]), text[start:stop])]
-            end = stop
-        if parts:
-            out[done] = "".join([*parts, texts[done][end:]])
+        changed: dict[int, list] = {}
+        begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(1, int)
+        spans = find_spans(joined)
+        owners = np.searchsorted(begins, [b for b, _ in spans], side="right") - 1
+        for (begin, end), i in zip(spans, owners.tolist()):
+            span = joined[begin:end]
+            if (best := self.decode(span)) != span:
+                changed.setdefault(i, []).append((begin - int(begins[i]), end - int(begins[i]), best))
+        out = list(texts)
+        for i, edits in changed.items():
+            parts, at = [], 0
+            for begin, end, best in edits:
+                parts += [texts[i][at:begin], best]
+                at = end
+            out[i] = "".join([*parts, texts[i][at:]])
         return out
 
 
+def _symbol(ch: str) -> int:
+    return _ID.get(ch) or (2 if ch.isdigit() else 1 if ch.isalpha() else 0)
+
+
+def _spell(path: tuple | None) -> str:
+    out = []
+    while path:
+        path, string = path
+        out.append(string)
+    return "".join(reversed(out))
+
+
 def _restore_model(cost: np.ndarray) -> CharModel:
     model = CharModel.__new__(CharModel)
     model.cost, model.cache = cost.astype(np.float64).tolist(), {}
@@ -303,7 +328,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     reaches the threshold, and the terms found, sorted.
 
     The character model counts all texts; terms are learned from labelled documents. NULL and empty texts score 0.0, with
-    no terms; so does everything if there are no toxic labels. Repeated rows and NULL ids are scored each. Other columns are ignored; an empty table gives an empty result.
+    no terms; so does everything if there are no toxic labels. Very long texts, and very long words, are decoded whole, in time linear in
+    them. Repeated rows and NULL ids are scored each, equal texts alike; a score that ties with the threshold is toxic, of equally likely
+    readings the first in order counts. Other columns are ignored; an empty table gives an empty result.
     """
     model = CharModel(trigram_counts(docs, text_col))
     terms = learn_terms(docs, labels, id_col, text_col, label_col)

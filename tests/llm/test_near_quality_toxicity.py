@@ -1,6 +1,10 @@
 """Operators 2, 6 and 7: brute force and held-out accuracy."""
 
+import itertools
+import math
 import random
+import re
+import time
 
 import numpy as np
 
@@ -79,10 +83,78 @@ def test_quality_on_held_out_documents(spark, sf_dir):
 def test_rules_as_columns_agree_with_the_model(spark, sf_dir):
     docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
-    names = list(quality.statistics(quality.F.lit("")))
-    rows = quality.score(quality._with_statistics(docs, "text", "stats"), model).select("stats", "score").collect()
-    x = np.array([[r.stats[n] for n in names] for r in rows])
-    assert np.allclose(model.probability(x, names), [r.score for r in rows], atol=1e-5)
+    rows = quality.score(docs.withColumn("stats", quality.statistics(docs.text)), model).select("stats", "score", "keep").collect()
+    p = model.probability(np.array([list(r.stats) for r in rows]), quality.NAMES)
+    assert np.allclose(p, [r.score for r in rows], atol=1e-5) and [r.keep for r in rows] == list(p >= quality.THRESHOLD)
+    left = sorted(r.doc_id for r in quality.quality_filter(docs, labels).collect())
+    assert left == sorted(r.doc_id for r in quality.score(docs, model).filter("keep").collect())
+
+
+def test_statistics_of_texts(spark):
+    texts = ["", None, "One two, two!\n\tThree |4 5|  ß Ünder.\nOne", "#" * 9, " \n ", "a\rb\x0bc d e f", "x " * 70_000]
+    got = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, text string").select("n", quality.statistics(quality.F.col("text")).alias("s")).orderBy("n").collect()
+    for text, r in zip((t or "" for t in texts), got):
+        words, lines, size = re.split(r"[ \t\n\x0b\f\r]+", text), text.split("\n"), max(1, len(text))
+        words = [w for w in words if w]
+        share = lambda signs: sum(c in signs for c in text) / size  # noqa: E731, B023
+        want = [math.log1p(len(text)), sum(map(len, words)) / max(1, len(words)), share(r"#*%&$@~^_=+<>\/{}[]"), share(".!?"), share(",;:"), share("!"), share("|"), share("0123456789")]
+        want += [sum(c.isupper() for c in text) / size, len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines), math.log1p(len(words) / len(lines))]
+        assert np.allclose(list(r.s), want), (text[:20], list(r.s), want)
+
+
+def test_a_filter_computes_statistics_once_whatever_the_rules(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    plans = set()
+    for n in (1, 10, 40):
+        rules = [quality.Rule((("chars", True, float(k)), ("digits", False, 0.1))) for k in range(n)]
+        left = docs.filter(quality.log_odds(docs.text, quality.RuleModel(0.0, rules, [1.0] * n)) >= 0)
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        plans.add((plan.count("regexp_extract_all("), plan.count("array_distinct("), plan.count("split(")))
+    assert len(plans) == 1 and max(plans.pop()) <= 7
+
+
+def _paths(x, grad, hess, names, edges, path, depth, least, rows):
+    """Paths of a boosted tree by trying every split of every node anew."""
+    out = [path] if path else []
+    value = lambda r: sum(grad[i] for i in r) ** 2 / (sum(hess[i] for i in r) + 1)
+    best = (1e-6, None)
+    for f in range(len(names)) if depth else ():
+        for bound in edges[f]:
+            low, high = [i for i in rows if x[i][f] <= bound], [i for i in rows if x[i][f] > bound]
+            if len(low) >= least and len(high) >= least and value(low) + value(high) - value(rows) > best[0] + 1e-12:
+                best = (value(low) + value(high) - value(rows), f, bound, low, high)
+    if best[1] is not None:
+        _, f, bound, low, high = best
+        out += _paths(x, grad, hess, names, edges, (*path, (names[f], False, bound)), depth - 1, least, low)
+        out += _paths(x, grad, hess, names, edges, (*path, (names[f], True, bound)), depth - 1, least, high)
+    return out
+
+
+def test_rules_are_the_paths_of_all_splits_tried():
+    rng = np.random.default_rng(9)
+    names = ["a", "b", "c"]
+    x = rng.random((120, 3)).round(2)
+    y = ((x[:, 0] > 0.4) & (x[:, 1] <= 0.7)).astype(float)
+    grad, hess = y - y.mean(), np.full(120, y.mean() * (1 - y.mean()))
+    edges = [np.unique(x[:, f])[:-1] for f in range(3)]
+    bins = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], 1)
+    rules, step = [], np.zeros(120)
+    quality._grow(x, bins, edges, names, grad, hess, np.arange(120), (), 3, 4, rules, step, 0.3)
+    assert [r.conditions for r in rules] == _paths(x, grad, hess, names, [e.tolist() for e in edges], (), 3, 4, list(range(120)))
+    for r in rules:  # a column holds where all conditions of the path do
+        assert (r.holds(x, names) == [all((v[names.index(n)] > t) == above for n, above, t in r.conditions) for v in x]).all()
+
+
+def test_weights_meet_the_conditions_of_the_lasso():
+    rng = np.random.default_rng(10)
+    z = (rng.random((400, 12)) < 0.4).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 1] - 0.2)))).astype(float)
+    penalty = 0.02
+    b, w = quality._lasso(z, y, penalty, 2000)
+    residual = 1 / (1 + np.exp(-(z @ w + b))) - y
+    slope = z.T @ residual / len(y)
+    assert abs(residual.mean()) < 1e-5 and 0 < (w != 0).sum() < 12
+    assert np.allclose(slope[w != 0], -penalty * np.sign(w[w != 0]), atol=1e-5) and (np.abs(slope[w == 0]) <= penalty + 1e-5).all()
 
 
 def test_quality_of_nasty_rows(spark, sf_dir):
@@ -138,6 +210,52 @@ def test_disguises_of_every_sign_and_place_are_read(spark):
         assert model.restore([f"and {clean} talks"]) == [f"and {clean} talks"]
 
 
+def _cost(model, text_parts):
+    state, total = 0, 0.0
+    for string, price in text_parts:
+        total += price
+        for ch in string:
+            x = toxicity._symbol(ch)
+            if x or state & 63:
+                total += model.cost[(state << 6) + x]
+                state = (state & 63) << 6 | x
+    return total + (model.cost[state << 6] if state & 63 else 0.0)
+
+
+def test_decoding_is_the_best_of_all_readings(spark):
+    docs = brute.table(spark, [(i, "an idiot talks garbage and stupid shit about the big table; hello letter will book", "s") for i in range(9)])
+    model = toxicity.CharModel(toxicity.trigram_counts(docs))
+    rng = random.Random(11)
+    spans = ["1d107", "stuupid", "iiddd1ooo7", "i.d.i.o.t", "5 h 1 7", "a", "9", "b||g", "l3tt3r"] + ["".join(rng.choices("ailost1!0$5 .", k=rng.randint(2, 9))) for _ in range(60)]
+    for span in spans:
+        readings = {}
+        for parts in itertools.product(*model.lattice(span)):
+            text = "".join(p[0] for p in parts)
+            readings[text] = min(readings.get(text, math.inf), _cost(model, parts))
+        assert readings[model.decode(span)] <= min(readings.values()) + 1e-9, span
+
+
+def test_spans_are_those_of_an_expression():
+    x, letter = toxicity._X, toxicity._L
+    sign = re.compile(rf"(?:{letter}|[{x}])+")
+    alone = re.compile(rf"(?<![^\W_])(?<![{x}])(?:{letter}|[{x}])(?:[ .\-_*/]{{1,2}}(?:{letter}|[{x}])(?![^\W_])(?![{x}])){{3,}}")
+    rng = random.Random(12)
+    for _ in range(400):
+        text = "".join(rng.choices("aab19$€ß2_ .-/é漢\n\u2014", k=rng.randint(0, 30)))
+        want = {m.span() for m in sign.finditer(text) if re.search(letter, m[0]) and (re.search(f"[{x}]", m[0])) or re.search(rf"({letter})\1", m[0])}
+        chains = [s for s in toxicity.find_spans(text) if s not in want]
+        assert want <= set(toxicity.find_spans(text)) and {m.span() for m in alone.finditer(text)} == set(chains), text
+
+
+def test_a_text_of_a_million_unbroken_characters(spark):
+    model = toxicity.CharModel(toxicity.trigram_counts(brute.table(spark, [(1, "some words of a text", "s")])))
+    for text in ("ab" * 500_000 + "9 9ab", "a9" * 100_000, "a b " * 50_000, "a" * 1_000_000):
+        began = time.process_time()
+        assert len(model.restore([text])) == 1
+        assert time.process_time() - began < 60
+    assert model.restore([]) == [] and model.restore(["", ""]) == ["", ""]
+
+
 def test_toxicity_of_nasty_rows(spark):
     docs = brute.nasty(spark, "toxic score terms")
     labels = spark.createDataFrame([(1, 0), (4, 1), (None, 1), (6, None)], "doc_id bigint, toxic int")
