@@ -51,21 +51,20 @@ def near(rows: list[tuple[int, str]], threshold: float) -> dict[int, int]:
 
 
 def lines(rows: list[tuple[int, str]], min_words: int) -> dict[int, str]:
-    """Texts without later copies of any run of lines of at least min_words words, all runs tried."""
-    first, gone = {}, defaultdict(set)
-    for doc, text in sorted(rows):
-        if not text:
-            continue
-        ls = text.split("\n")
-        size = [max(1, len(x.split())) for x in ls]
-        for i in range(len(ls)):
-            n = 0
-            for j in range(i, len(ls)):
-                n += size[j]
-                if n >= min_words:
-                    run = tuple(ls[i : j + 1])
-                    if first.setdefault(run, (doc, i)) != (doc, i):
-                        gone[doc].update(range(i, j + 1))
+    """Texts without later copies of any run of lines of at least min_words words: every two places are laid beside each other."""
+    found = [(doc, text.split("\n")) for doc, text in sorted(rows) if text]
+    places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    gone = defaultdict(set)
+    for n, (doc, ls) in enumerate(found):
+        words = [len(x.split()) for x in ls]
+        for i, line in enumerate(ls):
+            for m, k in places[line]:
+                other, size = found[m][1], 0
+                while i + size < len(ls) and k + size < len(other) and ls[i + size] == other[k + size]:
+                    size += 1
+                if sum(words[i : i + size]) >= min_words:
+                    gone[doc].update(range(i, i + size))
+            places[line].append((n, i))
     return {doc: "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone[doc]) if text else text for doc, text in rows}
 
 

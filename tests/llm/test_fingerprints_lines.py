@@ -88,7 +88,7 @@ def test_fingerprints_of_nasty_rows(spark):
 
 
 def test_line_dedup_is_that_of_all_runs(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("size(split(text, '\n')) < 80")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
     assert got == brute.lines([(r.doc_id, r.text) for r in docs.collect()], 50)
 
@@ -101,8 +101,25 @@ def test_line_dedup_of_random_lines(spark):
         assert got == brute.lines([(i, t) for i, t, _ in rows], least)
 
 
+def test_blank_lines_make_no_run_long(spark):
+    rows = [(1, "\n" * 300, "s"), (2, "\n" * 200, "s"), (3, "a b\n" + "\n" * 90 + "c d", "s"), (4, "x\na b\n" + "\n" * 90 + "c d\ny", "s")]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(brute.table(spark, rows), min_words=4).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: "x\ny"} == brute.lines([(i, t) for i, t, _ in rows], 4)
+    assert line_dedup.needed(line_dedup.np.zeros(60, int), 50).max() == -1
+
+
+def test_runs_are_the_maximal_ones_whatever_their_length(spark):
+    """Thousands of lines copied into others' midst: one run each, led by the first copy."""
+    body = [f"line {n % 700} of {n % 3}" for n in range(2500)]
+    rows = [(1, "\n".join(body), "s"), (2, "\n".join(["start", *body, "end"]), "s"), (3, "\n".join(["other", *body[100:1900]]), "s")]
+    got = {(r.doc_id, r.first, r.length) for r in line_dedup.repeated_runs(brute.table(spark, rows)).collect()}
+    assert {(2, 1, 2500), (3, 1, 1800)} <= got and all(d == 1 for d, *_ in got - {(2, 1, 2500), (3, 1, 1800)})
+    left = {r.doc_id: r.text for r in line_dedup.line_dedup(brute.table(spark, rows)).collect()}
+    assert left[2] == "start\nend" and left[3] == "other"
+
+
 def test_line_dedup_of_nasty_rows(spark):
-    docs = brute.nasty(spark, "th i h _ld_id n_lines n_deleted")
+    docs = brute.nasty(spark, "th i h d need lead _ld_id _ld_known n_lines n_deleted")
     out = line_dedup.line_dedup(docs, min_words=5, counts=True)
     assert out.columns == [*docs.columns, "_n_lines", "_n_deleted"]
     rows = {(r.doc_id, r.text is None): r for r in out.collect()}
