@@ -13,9 +13,11 @@ WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests, one machine) a folder of our own."""
+    """The folder all executors share: spark.checkpoint.dir, else (tests, one machine) a folder of our own. A cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seekmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

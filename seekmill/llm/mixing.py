@@ -50,18 +50,20 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
     copy_col: str | None = "copy",
+    tokens: Column | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """docs with each row emitted floor(rate) times plus once more if uniform(id) < fraction of the rate.
 
+    tokens is a row's number of tokens, such as a column of token_counts() joined to docs; words of the text by default. NULL counts as 0.
     copy_col numbers the copies from 0 (None: no such column; a clash gets underscores in front). NULL is a
-    source like any other. A NULL or empty text has no tokens and is repeated as its source is. A NULL id
+    source like any other. A NULL or empty text has no tokens and is repeated as its source is; a very long one counts whole. A NULL id
     draws as the string 'null'; repeated rows draw alike. All other columns are kept as they are. An empty
     table gives an empty result. The rates (one row per source) are written to the shared folder and
     counted: up to BROADCAST_ROWS they are broadcast, so that documents aren't shuffled at all.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mix")
-    rates = scratch.table(source_rates(docs, word_count(F.col(f"`{text_col}`")), source_col, weights, alpha, budget), "rates")
+    rates = scratch.table(source_rates(docs, F.coalesce(tokens, F.lit(0)) if tokens is not None else word_count(F.col(f"`{text_col}`")), source_col, weights, alpha, budget), "rates")
     name, rate, times = (fresh(docs, x) for x in ("_mix_source", "_mix_rate", "_mix_n"))
     rates = rates.select(F.col("source").alias(name), F.col("rate").alias(rate))
     small = rates.count() <= BROADCAST_ROWS

@@ -41,6 +41,11 @@ def encoder(path: str = TOKENIZER):
     return _encoders[path]
 
 
+def id_type(tokenizer: str = TOKENIZER, eod: int = EOD) -> str:
+    """Two bytes an id if the vocabulary and the separator fit, else four."""
+    return "<u2" if max(encoder(tokenizer).max_token_value, eod) < 1 << 16 else "<u4"
+
+
 def _open_fs(uri: str):
     from pyarrow import fs
 
@@ -51,8 +56,10 @@ def write_flat(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
     """Tokenise docs to flat files part-N.bin under uri, one a partition; returns the lazy (doc_id, file, ordinal)
     of every document, whose evaluation writes the files.
 
-    A task writes to a name of its own and renames at its end, so a lost or repeated task leaves whole files only.
+    A task writes to a name of its own and renames at its end, so a lost or repeated task leaves whole files only. The
+    tokenizer's file is opened at its path on the driver and on every executor; it isn't shipped.
     """
+    kind = id_type(tokenizer, eod)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -61,7 +68,7 @@ def write_flat(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
         fs, root = _open_fs(uri)
         name = f"part-{ctx.partitionId():08d}.bin"
         part = f"{root}/.{name}.{ctx.taskAttemptId()}"
-        bpe, end, n, out = encoder(tokenizer), np.array([eod], "<u2").tobytes(), 0, None
+        bpe, end, n, out = encoder(tokenizer), np.array([eod], kind).tobytes(), 0, None
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 block = pdf.iloc[at : at + 256]
@@ -70,7 +77,7 @@ def write_flat(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
                     out = fs.open_output_stream(part)
                 for text in block["text"]:
                     if text:
-                        out.write(bpe.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes())
+                        out.write(bpe.encode_to_numpy(text, disallowed_special=()).astype(kind).tobytes())
                     out.write(end)
                 yield pd.DataFrame({"doc_id": block["doc_id"], "file": name, "ordinal": np.arange(n, n + len(block))})
                 n += len(block)
@@ -82,15 +89,16 @@ def write_flat(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: str
     return slim.mapInPandas(run, "doc_id bigint, file string, ordinal bigint")
 
 
-def scan_blocks(spark: SparkSession, uri: str, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def scan_blocks(spark: SparkSession, uri: str, eod: int = EOD, block_tokens: int = BLOCK_TOKENS, kind: str = "<u2") -> DataFrame:
     """(file, block, first, size, ends): the places (in tokens, from the file's start) of the separators of each block."""
+    width = np.dtype(kind).itemsize
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(uri).select("path", "length")  # the contents aren't read
     blocks = files.select(
         F.element_at(F.split("path", "/"), -1).alias("file"),
-        (F.col("length") / 2).cast("bigint").alias("file_tokens"),
-        F.explode(F.expr(f"sequence(0L, greatest(0L, bigint(ceil(length / 2 / {block_tokens})) - 1L))")).alias("block"),
+        (F.col("length") / width).cast("bigint").alias("file_tokens"),
+        F.explode(F.expr(f"sequence(0L, greatest(0L, bigint(ceil(length / {width} / {block_tokens})) - 1L))")).alias("block"),
     ).select("file", "block", (F.col("block") * block_tokens).alias("first"), "file_tokens")
-    total = files.agg(F.sum(F.ceil(F.col("length") / 2 / block_tokens))).first()[0] or 0
+    total = files.agg(F.sum(F.ceil(F.col("length") / width / block_tokens))).first()[0] or 0
     tasks = max(1, min(total, max(-(-total // TASK_BLOCKS), spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,7 +107,7 @@ def scan_blocks(spark: SparkSession, uri: str, eod: int = EOD, block_tokens: int
             for row in pdf.itertuples(index=False):
                 size = min(block_tokens, row.file_tokens - row.first)
                 with fs.open_input_file(f"{root}/{row.file}") as f:
-                    ids = np.frombuffer(f.read_at(2 * size, 2 * row.first), "<u2")
+                    ids = np.frombuffer(f.read_at(width * size, width * row.first), kind)
                 ends = np.flatnonzero(ids == eod).astype(np.int64) + row.first
                 yield pd.DataFrame({"file": [row.file], "block": [row.block], "first": [row.first], "size": [size], "ends": [ends]})
 
@@ -131,7 +139,7 @@ def token_counts(
     """(doc_id, n_tokens) of every row of docs, by way of flat token files in the shared folder.
 
     NULL and empty texts have 0 tokens (their separators follow one another). Repeated rows and NULL ids are counted
-    each. The separator's string in a text is ordinary text, so it never splits a document. Other columns are ignored;
+    each; very long texts are tokenised whole and may cross any number of blocks. The separator's string in a text is ordinary text, so it never splits a document. Other columns are ignored;
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -140,6 +148,6 @@ def token_counts(
     places = scratch.table(write_flat(docs, uri, id_col, text_col, tokenizer, eod), "places")
     if not places.take(1):
         return spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
-    counts = stitch(scan_blocks(spark, uri, eod, block_tokens))
+    counts = stitch(scan_blocks(spark, uri, eod, block_tokens, id_type(tokenizer, eod)))
     # both sides grow with the corpus, and their compact files look small enough to broadcast: ask for a shuffle
     return places.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
