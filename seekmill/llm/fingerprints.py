@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekmill.llm.common import Scratch
@@ -95,22 +95,23 @@ def chunk_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return slim.mapInPandas(run, "doc_id bigint, digest bigint, weight bigint")
 
 
-def corpus_containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunks: DataFrame | None = None) -> DataFrame:
+def corpus_containment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunks: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_chunks, n_bytes, shared, earlier): how far each document is contained in the others.
 
     n_bytes is the weight of its distinct chunks; shared the part of it in chunks that another document has as well,
     earlier the part in chunks of a document with a smaller id; both from 0 to 1, rounded to 6 places.
     Linear in the chunks whatever their multiplicity: a chunk's holders are counted, never paired. The
     chunks of a digest meet in partial aggregates; only digests with several holders are joined back, and
-    AQE splits that join where a digest is hot.
+    AQE splits that join where a digest is hot. The corpus is chunked once, into a table.
 
     Rows with the same id are one document (repeated rows change nothing). NULL ids are one document of that id.
-    NULL and empty texts have no chunks and give no row; other columns are ignored; an empty table gives none.
+    NULL and empty texts have no chunks and give no row; very long texts are chunked whole. Ties of ids are repeated rows. Other columns are ignored; an empty table gives none.
     """
-    each = chunks if chunks is not None else chunk_digests(docs, id_col, text_col)
-    each = each.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "digest", "weight").distinct()
+    if chunks is None:
+        chunks = (scratch or Scratch(docs.sparkSession, "chunks")).table(chunk_digests(docs, id_col, text_col), "chunks")
+    each = chunks.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "digest", "weight").distinct()
     held = each.groupBy("digest").agg(F.count(F.lit(1)).alias("holders"), F.min("doc_id").alias("first")).filter("holders > 1")
-    joined = each.join(held, "digest", "left")
+    joined = each.join(held.hint("merge"), "digest", "left")
     share = lambda cond: F.round(F.sum(F.when(cond, F.col("weight")).otherwise(0)) / F.sum("weight"), 6)
     return (
         joined.groupBy("doc_id")
@@ -128,13 +129,15 @@ def containment_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.5)
     """(left_id, right_id, containment): pairs of two sets of chunk_digests() where at least threshold of the left
     document's weight is in the right one. Exact, by prefix filtering: a pair that reaches the threshold shares
     one of the left document's rarest chunks, so only those weighing just over 1 - threshold look for partners.
-    """
-    from pyspark.sql import Window
 
+    Rows that are there twice count once; NULL ids must be replaced before (corpus_pairs() does), as they equal nothing. Pairs that tie with
+    the threshold are results. A document is paired with itself if it is on both sides. Other columns are ignored; if either side is empty there are no pairs.
+    """
+    left, right = (x.select("doc_id", "digest", "weight") for x in (left, right))
     left, right = left.distinct(), right.distinct()
     freq = right.groupBy("digest").agg(F.count(F.lit(1)).alias("f"))
     by_rarity = Window.partitionBy("doc_id").orderBy("f", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = left.join(freq, "digest", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    ranked = left.join(freq.hint("merge"), "digest", "left").withColumn("f", F.coalesce("f", F.lit(0)))
     ranked = ranked.withColumn("total", F.sum("weight").over(Window.partitionBy("doc_id"))).withColumn("before", F.coalesce(F.sum("weight").over(by_rarity), F.lit(0)))
     probe = ranked.filter((F.col("f") > 0) & (F.col("before") <= F.col("total") * (1 - threshold)))
     pairs = probe.select(F.col("doc_id").alias("left_id"), "digest").join(right.select(F.col("doc_id").alias("right_id"), "digest"), "digest").select("left_id", "right_id").distinct()
