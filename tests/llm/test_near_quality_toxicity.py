@@ -50,6 +50,20 @@ def test_copies_that_are_alike_their_original_only(spark):
     assert set(got) <= set(want) and len(got) >= 0.98 * len(want), (len(got), len(want))
 
 
+def test_wide_buckets_are_split_without_losing_pairs(spark, monkeypatch):
+    """Documents that share a third of their words with all others, and much with one other; buckets are split from 8 groups on."""
+    monkeypatch.setattr(nd, "SPLIT", 8)
+    rng = random.Random(13)
+    head, rows = [f"h{n}" for n in range(100)], []
+    for g in range(120):
+        own = [f"g{g}w{n}" for n in range(100)]
+        edited = [f"x{rng.random()}" if rng.random() < 0.05 else w for w in own]
+        rows += [(2 * g, " ".join(head + own), "s"), (2 * g + 1, " ".join(head + edited), "s")]
+    want = brute.near([(i, t) for i, t, _ in rows], nd.THRESHOLD)
+    got = {r.doc_id: r.keeper_id for r in nd.near_duplicates(brute.table(spark, rows)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 90, (len(got), len(want))
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(6)
     for share in (0.2, 0.6, 0.9):
