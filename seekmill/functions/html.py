@@ -96,44 +96,47 @@ def find_main(root: Node) -> Node:
     return root.find(lambda n: n.tag == "body") or root
 
 
+HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
 def render(node: Node, noise: set[str] = SILENT) -> str:
     """Markdown-like text of a tree."""
     out: list[str] = []
 
-    def go(n, block: bool, depth: int, pre: bool) -> bool:
-        if isinstance(n, str):
+    # the nodes to come, each with the depth of its list and whether it stands in pre or code; or what to do behind a node's children
+    block, stack = False, [(node, 0, False)]
+    while stack:
+        n, depth, pre = stack.pop()
+        if n is None:
+            if depth == "pre":
+                out.append("\n```\n\n")
+            block = block or pre
+        elif isinstance(n, str):
             t = n if pre else n.strip()
             if t:
                 if out and not pre:
                     out.append("\n" if block else " ")
                 out.append(t)
                 block = False
-            return block
-        if n.tag in noise:
-            return block
-        if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            out.append(("\n\n" if out else "") + "#" * int(n.tag[1]))
-            block = False
-        elif n.tag == "p":
-            out.append("\n\n" if out else "")
-            block = False
-        elif n.tag == "li":
-            out.append("\n" + "  " * max(0, depth - 1) + "-")
-            block = False
-        elif n.tag in ("ul", "ol"):
-            depth, block = depth + 1, True
-        elif n.tag == "pre":
-            out.append("\n\n```\n")
-            block = False
-        elif n.tag in BLOCK:
-            block = True
-        for kid in n.kids:
-            block = go(kid, block, depth, pre or n.tag in ("pre", "code"))
-        if n.tag == "pre":
-            out.append("\n```\n\n")
-        return block or n.tag in BLOCK or n.tag in ("p", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6")
-
-    go(node, False, 0, False)
+        elif n.tag not in noise:
+            if n.tag in HEADS:
+                out.append(("\n\n" if out else "") + "#" * int(n.tag[1]))
+                block = False
+            elif n.tag == "p":
+                out.append("\n\n" if out else "")
+                block = False
+            elif n.tag == "li":
+                out.append("\n" + "  " * max(0, depth - 1) + "-")
+                block = False
+            elif n.tag in ("ul", "ol"):
+                depth, block = depth + 1, True
+            elif n.tag == "pre":
+                out.append("\n\n```\n")
+                block = False
+            elif n.tag in BLOCK:
+                block = True
+            stack.append((None, n.tag, n.tag in BLOCK or n.tag in ("p", "ul", "ol", *HEADS)))
+            stack += [(kid, depth, pre or n.tag in ("pre", "code")) for kid in reversed(n.kids)]
     return normalize_lines("".join(out))
 
 

@@ -29,6 +29,7 @@ def with_identity(docs: DataFrame, text_col: str = "text", hash_name: str = "md5
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", hash_col: str = "content_hash") -> DataFrame:
     """(id, first_id): every document whose normalised text an earlier one has. One aggregate and one join, no window
     over all copies of a text."""
+    docs = Scratch(docs.sparkSession, "exact").table(docs.select(id_col, hash_col), "hashes")  # or both sides would hash the texts
     first = docs.groupBy(hash_col).agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     return docs.select(id_col, hash_col).join(first, hash_col).filter(F.col(id_col) > F.col("first_id")).select(id_col, "first_id")
 
@@ -116,7 +117,14 @@ def process(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     short = x.filter(~long).select("id", F.lit("skipped").alias("status"), F.lit(None).cast("bigint").alias("entry_id"), F.lit(None).cast("int").alias("distance"))
     if not dedup:
         return x.filter(long).select("id", F.lit("indexed").alias("status"), F.col("id").cast("bigint").alias("entry_id"), F.lit(0).alias("distance")).unionByName(short).withColumnRenamed("id", id_col)
-    ids = scratch.table(with_identity(x.filter(long), "text", hash_name).select("id", "content_hash", "simhash"), "ids")
+    ids = with_identity(x.filter(long), "text", hash_name).select("id", "content_hash", "simhash")
+    y = _in_order(ids, threshold, update_near, scratch)
+    return y.unionByName(short).withColumnRenamed("id", id_col)
+
+
+def _in_order(ids: DataFrame, threshold: int, update_near: bool, scratch: Scratch) -> DataFrame:
+    """(id, status, entry_id, distance) of ids(id, content_hash, simhash), as if they had come one by one."""
+    ids = scratch.table(ids, "ids")
     nodes = scratch.table(ids.groupBy("simhash").agg(F.min("id").alias("first")), "nodes")
     pairs = scratch.table(near_pairs(nodes, threshold), "pairs")
     found = scratch.table(entries(nodes, pairs, scratch), "entries")
@@ -125,9 +133,53 @@ def process(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     y = ids.join(own, "simhash", "left").join(near.withColumnRenamed("a", "simhash"), "simhash", "left")
     best = F.array_min(F.filter("near", lambda p: p["other"] < F.col("id")))
     y = y.select("id", "content_hash", F.coalesce("own", best["other"]).alias("entry_id"), F.when(F.col("own").isNotNull(), 0).otherwise(best["distance"]).cast("int").alias("distance"))
-    before = F.lag("content_hash").over(Window.partitionBy("entry_id").orderBy("id"))
-    status = F.when(F.col("id") == F.col("entry_id"), "indexed").when(before == F.col("content_hash"), "metadata_updated").otherwise("content_updated" if update_near else "skipped")
-    return y.select("id", status.alias("status"), "entry_id", "distance").unionByName(short).withColumnRenamed("id", id_col)
+    y = scratch.table(y, "placed")
+    turns = _turns(y)
+    status = F.when(F.col("id") == F.col("entry_id"), "indexed").when(F.col("again"), "metadata_updated").otherwise("content_updated" if update_near else "skipped")
+    return turns.select("id", status.alias("status"), "entry_id", "distance")
+
+
+def _turns(y: DataFrame) -> DataFrame:
+    """y(id, content_hash, entry_id) with again: the text before it in its entry, by id, is the same.
+
+    Entries are sorted in a range partitioning of (entry_id, id), which cuts hot ones; the rows before the first of each partition come
+    from a table of the partitions' last rows, one a partition.
+    """
+    scratch = Scratch(y.sparkSession, "turns")
+    parts = scratch.table(y.repartitionByRange("entry_id", "id").sortWithinPartitions("entry_id", "id").withColumn("part", F.spark_partition_id()), "sorted")
+    w = Window.partitionBy("part").orderBy("entry_id", "id")
+    last = parts.groupBy("part").agg(F.max_by(F.struct("entry_id", "content_hash"), F.struct("entry_id", "id")).alias("last"))
+    carried = last.withColumn("part", F.lead("part").over(Window.orderBy("part"))).filter("part IS NOT NULL")  # a row for each partition
+    rows = parts.join(F.broadcast(carried), "part", "left")
+    before = F.coalesce(F.lag(F.struct("entry_id", "content_hash")).over(w), F.col("last"))
+    return rows.withColumn("_b", before).withColumn("again", F.coalesce((F.col("_b.entry_id") == F.col("entry_id")) & (F.col("_b.content_hash") == F.col("content_hash")), F.lit(False))).drop("_b", "last", "part")
+
+
+def against_registry(docs: DataFrame, registry: DataFrame, threshold: int = THRESHOLD, update_near: bool = True, scratch: Scratch | None = None) -> DataFrame:
+    """D4 against a stored registry(entry_id, content_hash, simhash): (id, status, entry_id, distance) of docs(id, content_hash, simhash).
+
+    A document with the text of an entry is metadata_updated; else one near an entry, the nearest, then the first by id, is content_updated (skipped without
+    update_near). The others meet each other in the order of their ids, as in process(). Repeated ids are one document.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "registry")
+    docs = scratch.table(docs.select("id", "content_hash", "simhash").dropDuplicates(["id"]), "reg_docs")
+    known = scratch.table(registry.select("entry_id", "content_hash", "simhash"), "reg_known")
+    same = known.groupBy("content_hash").agg(F.min("entry_id").alias("same"))
+    first = known.groupBy("simhash").agg(F.min("entry_id").alias("entry"))
+    both = docs.select("simhash").distinct().withColumn("new", F.lit(True)).unionByName(known.select("simhash", F.lit(False).alias("new")).distinct())
+    pairs = _both_ways(near_pairs(both, threshold)).unionByName(first.select(F.col("simhash").alias("a"), F.col("simhash").alias("b"), F.lit(0).alias("distance")))
+    near = pairs.join(first.withColumnRenamed("simhash", "b"), "b").groupBy("a").agg(F.min(F.struct("distance", "entry")).alias("near"))
+    met = docs.join(same, "content_hash", "left").join(near.withColumnRenamed("a", "simhash"), "simhash", "left")
+    met = scratch.table(met.select("id", "content_hash", "simhash", "same", "near"), "reg_met")
+    hit = F.col("same").isNotNull()
+    old = met.filter(hit | F.col("near").isNotNull()).select(
+        "id",
+        F.when(hit, "metadata_updated").otherwise("content_updated" if update_near else "skipped").alias("status"),
+        F.coalesce("same", "near.entry").alias("entry_id"),
+        F.when(hit, 0).otherwise(F.col("near.distance")).cast("int").alias("distance"),
+    )
+    rest = met.filter("same IS NULL AND near IS NULL").select("id", "content_hash", "simhash")
+    return old.unionByName(_in_order(rest, threshold, update_near, scratch))
 
 
 def registry_stats(registry: DataFrame) -> DataFrame:
@@ -157,6 +209,26 @@ def unregister(registry: DataFrame, content_ids: DataFrame) -> DataFrame:
     return registry.join(content_ids, "content_id", "left_anti")
 
 
+def recent_duplicates(pages: DataFrame, id_col: str, capacity: int, hash_col: str = "content_hash") -> DataFrame:
+    """Pages with status 'seen' if one of the capacity pages before, by id, has the same text, else 'new': dedup with a bounded memory in which
+    a text counts from its last sight on. Pages are numbered by a range sort and a sum for each partition."""
+    scratch = Scratch(pages.sparkSession, "recent")
+    placed = scratch.table(pages.select(id_col, hash_col).orderBy(id_col).withColumn("m", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()), "order")
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m")).collect()):  # a row for each partition
+        offsets.append((r.part, before - r.m))
+        before += r.n
+    offsets = pages.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, o bigint")
+    rows = scratch.table(placed.join(F.broadcast(offsets), "part").select(id_col, hash_col, (F.col("m") + F.col("o")).alias("n")), "rows")
+    # a text's pages in one stretch of capacity places, and the last of the stretch before, decide; so no text is sorted whole
+    w = Window.partitionBy(hash_col, "stretch").orderBy("n")
+    cut = rows.withColumn("stretch", F.floor(F.col("n") / capacity))
+    last = cut.groupBy(hash_col, "stretch").agg(F.max("n").alias("carried")).withColumn("stretch", F.col("stretch") + 1)
+    near = cut.withColumn("own", F.lag("n").over(w)).join(last, [hash_col, "stretch"], "left")
+    gap = F.col("n") - F.coalesce("own", "carried")
+    return near.select(id_col, hash_col, F.when(gap <= capacity, "seen").otherwise("new").alias("status"))
+
+
 def url_dedup(pages: DataFrame, url_col: str = "url", order_col: str = "page_id") -> DataFrame:
     """The first page of every normalised URL."""
     keyed = pages.withColumn("norm_url", urls.normalize_url(F.col(url_col)))

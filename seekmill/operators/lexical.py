@@ -1,7 +1,8 @@
 """Lexical index and BM25 retrieval.
 
-The inverted index is three DataFrames (postings, chunk lengths, statistics), all built by one
-explode + partial aggregation, so it is as wide as the cluster and needs no driver state.
+The inverted index is postings, which carry the length of their chunk, and a row of statistics. It is built by one
+explode + partial aggregation, so it is as wide as the cluster and needs no driver state, and stored in order of
+its terms, so that a search reads the row groups of the query's terms only.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -19,7 +20,7 @@ MAX_TOKEN_BYTES = 40
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # term, chunk_id, tf
+    postings: DataFrame  # term, chunk_id, tf, dl
     lengths: DataFrame  # chunk_id, dl
     stats: DataFrame  # n, avgdl (one row)
 
@@ -33,12 +34,27 @@ def tokens(col: Column) -> Column:
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> LexicalIndex:
     """Postings by explode + groupBy; lengths need no shuffle of their own."""
     tok = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("toks"))
-    postings = tok.select("chunk_id", F.explode("toks").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = tok.select("chunk_id", F.size("toks").cast("bigint").alias("dl"))
+    dl = F.size("toks").cast("bigint").alias("dl")
+    postings = tok.select("chunk_id", dl, F.explode("toks").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    lengths = tok.select("chunk_id", dl)
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     return LexicalIndex(postings, lengths, stats)
 
 
+def statistics(spark: SparkSession, chunks: int, tokens_: int) -> DataFrame:
+    """The row (n, avgdl) of an index of so many chunks and tokens; avgdl is NULL without chunks."""
+    return spark.createDataFrame([(chunks, tokens_ / chunks if chunks else None)], "n bigint, avgdl double")
+
+
+def stored_index(chunks: DataFrame, path: str, id_col: str = "chunk_id", text_col: str = "content") -> LexicalIndex:
+    """E4 written under path, in order of (term, chunk_id): texts are read once, and searches read a few row groups."""
+    spark, built = chunks.sparkSession, build_index(chunks, id_col, text_col)
+    built.postings.orderBy("term", "chunk_id").write.mode("overwrite").parquet(path)
+    postings = spark.read.schema("term string, chunk_id string, tf bigint, dl bigint").parquet(path)
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    return LexicalIndex(postings, built.lengths, statistics(spark, chunks.count(), total))
+
+
 @dataclass
 class ParsedQuery:
     should: list[str]
@@ -95,7 +111,6 @@ def score_terms(index: LexicalIndex, terms: list[str]) -> DataFrame:
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return (
         hits.join(F.broadcast(df), "term")  # at most one row per query term
-        .join(index.lengths, "chunk_id")
         .crossJoin(F.broadcast(index.stats))  # one row
         .select("chunk_id", "term", "tf", (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
     )
@@ -133,7 +148,7 @@ def bm25_batch(index: LexicalIndex, queries: DataFrame, top_k: int = 10) -> Data
     df = index.postings.join(q.select("term").distinct(), "term", "left_semi")
     dfs = df.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("dl"), F.col("avgdl"))
-    per_term = df.join(dfs, "term").join(index.lengths, "chunk_id").crossJoin(F.broadcast(index.stats)).select("term", "chunk_id", weight.alias("w"))
+    per_term = df.join(dfs, "term").crossJoin(F.broadcast(index.stats)).select("term", "chunk_id", weight.alias("w"))
     scores = q.join(per_term, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("w"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)

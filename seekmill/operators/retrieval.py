@@ -116,7 +116,7 @@ def pipeline(*stages: Stage, explain: bool = False) -> Stage:
 
 def hybrid_search(
     index: lexical.LexicalIndex, vectors: DataFrame | None, chunks: DataFrame, query: str, embedding: list[float] | None = None, top_k: int = 10,
-    filters: Filters | None = None, candidates: int = 50, rerank: bool = True, mode: str = "post", explain: bool = False,
+    filters: Filters | None = None, candidates: int = 50, rerank: bool = True, mode: str = "post", explain: bool = False, rrf_k: int = 60,
 ) -> DataFrame:
     """BM25 and vector candidates, fused by rank, joined to their chunks (unknown ones vanish), filtered, scored and cut to top_k.
     mode="post" filters the fused list (of three times as many candidates); mode="pre" filters the chunks first, so
@@ -136,7 +136,7 @@ def hybrid_search(
     ranked = to_ranked(scores.select("chunk_id", F.round("score", 6).alias("score")), "bm25", n)
     if embedding is not None and vectors is not None:
         ranked = ranked.unionByName(to_ranked(vector.vector_search(vectors, embedding, n), "dense", n))
-    fused = rrf(ranked).orderBy(F.desc("score"), "chunk_id").limit(top_k * wide)
+    fused = rrf(ranked, rrf_k).orderBy(F.desc("score"), "chunk_id").limit(top_k * wide)
     hits = chunks.join(F.broadcast(fused), "chunk_id")  # at most 3 top_k rows
     if mode != "pre":
         hits = hits.filter(filters.column())

@@ -80,6 +80,46 @@ def bloom_filters(index: DataFrame, group_col: str = "node_id", rate: float = 0.
     return index.groupBy(group_col).applyInPandas(build, f"{group_col} {kind}, bloom binary, items bigint")
 
 
+def bloom_candidates(filters: DataFrame, queries: DataFrame, group_col: str = "node_id") -> DataFrame:
+    """(query_id, node) of nodes whose filter holds any band key of the query(query_id, signature); the others are rejected unasked.
+    Filters, one a node, go to the blocks of queries; each is opened once a block."""
+    kind, qkind = filters.schema[group_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    keys = queries.select("query_id", F.transform(band_keys(F.col("signature")), lambda k: k["key"]).alias("keys"))
+    blocks = keys.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("block")).agg(F.collect_list("query_id").alias("ids"), F.collect_list("keys").alias("keys"))
+    spread = filters.select(F.col(group_col).alias("node"), "bloom", F.explode(F.expr("sequence(0L, 63L)")).alias("block"))
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                f = Bloom.from_bytes(row.bloom)
+                hits = [q for q, ks in zip(row.ids, row.keys) if any(b.to_bytes(1, "little") + int(k).to_bytes(8, "little") in f for b, k in enumerate(ks))]
+                if hits:
+                    yield pd.DataFrame({"query_id": hits, group_col: pd.Series([row.node] * len(hits), dtype=object)})
+
+    return spread.join(blocks.hint("merge"), "block").select("node", "bloom", "ids", "keys").mapInPandas(run, f"query_id {qkind}, {group_col} {kind}")
+
+
+def advertise_clusters(vectors: DataFrame, k: int = 4, dims: int | None = None, steps: int = 5, node_col: str = "node_id", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(node_id, centroid_id, centroid, size): up to k k-means centroids a node. The first centroids are the node's vectors with the smallest
+    hashes of their ids; each step assigns by cosine and takes the means, which are few and written to the shared folder."""
+    from seekmill.sources.store import Scratch
+
+    scratch = Scratch(vectors.sparkSession, "ads")
+    v = F.slice(vec_col, 1, dims) if dims else F.col(vec_col)
+    x = vectors.select(F.col(node_col).alias("node_id"), F.col(id_col).alias("_id"), T.unit(v).alias("embedding"))
+    w = Window.partitionBy("node_id").orderBy("_h", "_id")
+    ads = x.withColumn("_h", F.xxhash64("_id")).withColumn("centroid_id", F.row_number().over(w) - 1).filter(F.col("centroid_id") < k).select("node_id", "centroid_id", F.col("embedding").alias("centroid"))
+    ads = scratch.table(ads, "centroids0")
+    for n in range(1, steps + 1):
+        near = x.join(ads, "node_id").groupBy("node_id", "_id").agg(F.max_by(F.struct("centroid_id", "embedding"), F.struct(T.dot(F.col("embedding"), F.col("centroid")), -F.col("centroid_id"))).alias("b"))
+        means = advertise(near.select("node_id", F.col("b.centroid_id").alias("c"), F.col("b.embedding").alias("embedding")), None, "node_id", "c")
+        # a centroid without vectors stays where it was
+        kept = ads.join(means.select("node_id", "centroid_id"), ["node_id", "centroid_id"], "left_anti").withColumn("size", F.lit(0).cast("bigint"))
+        ads = scratch.table(means.unionByName(kept.select(*means.columns)), f"centroids{n}")
+        scratch.drop(f"centroids{n - 1}")
+    return ads
+
+
 def advertise(vectors: DataFrame, dims: int | None = None, node_col: str = "node_id", centroid_col: str | None = None, vec_col: str = "embedding") -> DataFrame:
     """(node_id, centroid_id, centroid, size): normalised means of a node's vectors by centroid_col (of all without one), cut to dims."""
     c = F.col(centroid_col) if centroid_col else F.lit(0)

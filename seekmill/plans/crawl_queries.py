@@ -23,7 +23,7 @@ def _seen(spark: SparkSession, sf: str) -> DataFrame:
 
 NEW = f"""found AS (SELECT page_id, url, page_id % 4 AS depth, {Q.norm_url("url")} AS norm_url FROM pages),
     new AS (SELECT norm_url, min(depth) AS depth FROM found WHERE norm_url NOT IN (SELECT norm_url FROM found WHERE page_id % 5 = 0) GROUP BY 1),
-    capped AS (SELECT norm_url, depth, {Q.host("norm_url")} AS host, row_number() OVER (PARTITION BY {Q.host("norm_url")} ORDER BY depth, norm_url) AS n FROM new QUALIFY n <= 3)"""
+    capped AS (SELECT norm_url, depth, {Q.host("norm_url")} AS host, row_number() OVER (PARTITION BY {Q.host("norm_url")} ORDER BY depth, norm_url) AS n FROM new QUALIFY n <= 10000)"""
 
 
 @query(
@@ -34,7 +34,7 @@ NEW = f"""found AS (SELECT page_id, url, page_id % 4 AS depth, {Q.norm_url("url"
 )
 def i1(spark: SparkSession, sf: str) -> DataFrame:
     ring = routing.ring(table(spark, sf, "nation").select(F.col("n_name").alias("peer")))
-    return crawl.add_discovered(_found(spark, sf), _seen(spark, sf), ring, per_domain=3).select("norm_url", "depth", "host", "peer")
+    return crawl.add_discovered(_found(spark, sf), _seen(spark, sf), ring).select("norm_url", "depth", "host", "peer")
 
 
 def _frontier(spark: SparkSession, sf: str) -> DataFrame:

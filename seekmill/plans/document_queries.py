@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seekmill.config import Config
 from seekmill.functions import identity, urls
 from seekmill.operators import chunking, clustering, dedup, vector
 from seekmill.plans import sql as Q
+from seekmill.plans.engine import Engine
 from seekmill.plans.registry import query, table
 from seekmill.plans.text_queries import SIM_SQL
 from seekmill.sources import files, store as S, wiki
@@ -21,11 +23,13 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 # A: storage
 
 
-@query("a2_page_filter", r"SELECT doc_id::VARCHAR AS id, replace('Page ' || doc_id, ' ', '_') AS title FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0 AND strlen(text) >= 100 AND text NOT LIKE '%<%' AND text NOT LIKE '%[%' AND text NOT LIKE '%{%'")
+@query("a2_page_filter")
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("NOT (contains(text, '<') OR contains(text, '[') OR contains(text, '{'))")
-    pages = d.select(F.lit("enwiki.xml").alias("file"), F.col("doc_id").alias("id"), (F.col("doc_id") % 4).cast("int").alias("ns"), F.concat(F.lit("Page "), F.col("doc_id").cast("string")).alias("title"), (F.col("doc_id") % 3 == 0).alias("redirect"), F.col("text").alias("wikitext"), F.lit(None).cast("timestamp").alias("modified"))
-    return wiki.page_documents(pages, min_text=0).select("id", F.element_at(F.split("url", "/"), -1).alias("title"))
+    """Documents as pages with markup before their text: those without text are redirects, those of source src1 talk pages."""
+    d = table(spark, sf, "documents")
+    text = F.concat(F.lit("A \'\'\'page\'\'\' of [[Category:All]][[Main page|the main page]].\n== Text ==\n"), F.col("text"))
+    pages = d.select(F.lit("enwiki.xml").alias("file"), F.col("doc_id").alias("id"), F.when(F.col("source") == "src1", 1).otherwise(0).alias("ns"), F.concat(F.lit("Page "), F.col("doc_id").cast("string")).alias("title"), (F.coalesce("text", F.lit("")) == "").alias("redirect"), text.alias("wikitext"), F.lit(None).cast("timestamp").alias("modified"))
+    return wiki.page_documents(pages).select("id", F.element_at(F.split("url", "/"), -1).alias("title"), F.md5("content").alias("digest"))
 
 
 @query("a9_pdf_text", rf"SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^{Q.S}+|{Q.S}+$', '', 'g')), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')) AS text FROM documents")
@@ -134,7 +138,8 @@ def d3(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.classify(_identified(spark, sf))
 
 
-PROCESS_SQL = f"""WITH RECURSIVE ids AS MATERIALIZED (SELECT * FROM {IDS} WHERE strlen(coalesce(text, '')) >= 100), nodes AS MATERIALIZED (SELECT simhash, min(doc_id) AS first FROM ids GROUP BY 1),
+def process_sql(least: int) -> str:
+    return f"""WITH RECURSIVE ids AS MATERIALIZED (SELECT * FROM {IDS} WHERE strlen(coalesce(text, '')) >= {least}), nodes AS MATERIALIZED (SELECT simhash, min(doc_id) AS first FROM ids GROUP BY 1),
     e AS MATERIALIZED (SELECT a.first AS early, b.first AS late, b.simhash AS s, bit_count(xor(a.simhash, b.simhash))::INT AS dist FROM nodes a JOIN nodes b ON a.first < b.first AND bit_count(xor(a.simhash, b.simhash)) <= 3),
     walk AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS found UNION ALL
       SELECT n.first, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.late = n.first AND list_contains(w.found, e.early)) THEN w.found ELSE list_append(w.found, n.first) END
@@ -144,7 +149,10 @@ PROCESS_SQL = f"""WITH RECURSIVE ids AS MATERIALIZED (SELECT * FROM {IDS} WHERE
     best AS (SELECT i.doc_id, min([bit_count(xor(i.simhash, o.simhash))::BIGINT, o.first]) AS b FROM ids i JOIN own o ON o.first <= i.doc_id AND bit_count(xor(i.simhash, o.simhash)) <= 3 GROUP BY 1),
     placed AS (SELECT doc_id, hash, b[2] AS entry_id, b[1]::INT AS distance FROM ids JOIN best USING (doc_id))
     SELECT doc_id, CASE WHEN doc_id = entry_id THEN 'indexed' WHEN hash = lag(hash) OVER (PARTITION BY entry_id ORDER BY doc_id) THEN 'metadata_updated' ELSE 'content_updated' END AS status, entry_id, distance FROM placed
-    UNION ALL SELECT doc_id, 'skipped', NULL, NULL FROM documents WHERE strlen(coalesce(text, '')) < 100"""
+    UNION ALL SELECT doc_id, 'skipped', NULL, NULL FROM documents WHERE strlen(coalesce(text, '')) < {least}"""
+
+
+PROCESS_SQL = process_sql(100)
 
 
 @query("d4_process", PROCESS_SQL)
@@ -160,9 +168,9 @@ def d5(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.registry_stats(r)
 
 
-@query("d5_register", "SELECT lang AS content_id, max_by(source, doc_id) AS source_type, count(DISTINCT source) AS n_urls FROM documents WHERE doc_id % 2 = 0 GROUP BY 1")
+@query("d5_register", "SELECT lang AS content_id, max_by(source, doc_id) AS source_type, count(DISTINCT source) AS n_urls FROM documents GROUP BY 1")
 def d5_register(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").filter("doc_id % 2 = 0")
+    d = table(spark, sf, "documents")
     rows = d.groupBy("lang", (F.col("doc_id") % 4).alias("k")).agg(F.collect_set("source").alias("urls"), F.max("doc_id").alias("last"), F.max_by("source", "doc_id").alias("source_type"))
     rows = rows.select(F.col("lang").alias("content_id"), "source_type", "urls", F.array(F.col("last").cast("string")).alias("chunk_ids"), "k", "last")
     newest = F.max("last").over(Window.partitionBy("content_id"))
@@ -176,11 +184,25 @@ def d7(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.url_dedup(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "norm_url")
 
 
-@query("d8_crawl_dedup", f"SELECT page_id FROM (SELECT page_id, min(page_id) OVER (PARTITION BY sha256({Q.norm('html')})) AS first FROM pages) WHERE page_id = first")
+@query(
+    "d8_crawl_dedup",
+    f"""WITH ws AS (SELECT page_id, {Q.words(Q.norm('html'))} AS ws FROM pages),
+    ids AS MATERIALIZED (SELECT p.page_id, sha256({Q.norm('html')}) AS hash, coalesce(s.simhash, 0) AS simhash FROM pages p LEFT JOIN ({Q.simhash('ws', 'page_id')}) s USING (page_id)),
+    nodes AS MATERIALIZED (SELECT simhash, min(page_id) AS first FROM ids GROUP BY 1)
+    SELECT page_id FROM ids i WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.first < i.page_id AND bit_count(xor(i.simhash, n.simhash)) <= 3)
+      AND NOT EXISTS (SELECT 1 FROM ids o WHERE o.hash = i.hash AND o.page_id < i.page_id)""",
+)
 def d8(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages that are neither a known page's text nor an earlier one's."""
+    """Pages whose text is neither an earlier one's nor near it."""
+    p = dedup.with_identity(table(spark, sf, "pages").select("page_id", "html"), "html")
+    return dedup.classify(p, id_col="page_id").filter("status = 'new'").select("page_id")
+
+
+@query("d6_content_lru", "SELECT page_id, CASE WHEN before IS NULL OR n - before > 500 THEN 'new' ELSE 'seen' END AS status FROM (SELECT page_id, n, lag(n) OVER (PARTITION BY hash ORDER BY n) AS before FROM (SELECT page_id, hash, row_number() OVER (ORDER BY page_id) AS n FROM (SELECT page_id, sha256(" + Q.norm("html") + ") AS hash FROM pages)))")
+def d6(spark: SparkSession, sf: str) -> DataFrame:
+    """Page texts against a window of the 500 pages before."""
     p = table(spark, sf, "pages").select("page_id", identity.content_hash(F.col("html")).alias("content_hash"))
-    return p.select("page_id").join(dedup.exact_duplicates(p, "page_id"), "page_id", "left_anti")
+    return dedup.recent_duplicates(p, "page_id", 500).select("page_id", "status")
 
 
 @query("d9_replace_by_url", "SELECT page_id + CASE WHEN page_id % 2 = 0 THEN 1000000 ELSE 0 END AS page_id, url FROM pages WHERE page_id % 2 = 0 OR url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0)")
@@ -229,7 +251,7 @@ def h4(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.mean_vectors(table(spark, sf, "embeddings"), "label").select("label", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
 
 
-@query("h5_unmatched_urls", f"SELECT DISTINCT {Q.norm_url('url')} AS url FROM pages WHERE page_id % 3 = 0 EXCEPT SELECT {Q.norm_url('url')} FROM pages SEMI JOIN embeddings ON page_id = vec_id WHERE page_id % 3 <> 0")
+@query("h5_unmatched_urls", f"SELECT DISTINCT {Q.norm_url('url')} AS url FROM pages EXCEPT SELECT {Q.norm_url('url')} FROM pages SEMI JOIN embeddings ON page_id = vec_id")
 def h5_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return _clustered(spark, sf)[1]
 
@@ -241,10 +263,9 @@ def h5(spark: SparkSession, sf: str) -> DataFrame:
 
 def _clustered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf, "pages").withColumn("url", urls.normalize_url(F.col("url")))
-    chunks = p.filter("page_id % 3 <> 0").select(F.col("page_id").cast("string").alias("chunk_id"), F.col("page_id").cast("string").alias("document_id"), "url", urls.path(F.col("url")).alias("title"))
+    chunks = p.select(F.col("page_id").cast("string").alias("chunk_id"), F.col("page_id").cast("string").alias("document_id"), "url", urls.path(F.col("url")).alias("title"))
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    wanted = p.filter("page_id % 3 = 0").select("url").unionByName(p.filter("page_id % 3 = 1").select("url"))
-    return clustering.cluster_documents(wanted, chunks, vecs, 8)
+    return clustering.cluster_documents(p.select("url"), chunks, vecs, 8)
 
 
 # E: storage of indexes
@@ -281,5 +302,7 @@ def e8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e10_index_stats", "SELECT count(DISTINCT conv_id) AS documents, count(*) AS chunks, sum(strlen(text))::BIGINT AS bytes FROM conversations")
 def e10(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").agg(F.count_distinct("conv_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("text")).alias("bytes"))
-
+    engine = Engine(spark, S.Scratch(spark, "stats").path("index"), Config(), "create")
+    c = table(spark, sf, "conversations")
+    engine.store.append("chunks", c.select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("document_id"), F.col("text").alias("content")))
+    return engine.stats()

@@ -17,7 +17,7 @@ MAX_QUERY_BYTES = 10_000
 
 
 class Engine:
-    """Index, search, delete and inspect a corpus that is stored as Parquet tables under path."""
+    """Index, search, delete and inspect a corpus that is stored as Parquet tables under path. An engine's tables are append-only segments under numbered manifests."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, mode: str = "open", embedder: Callable[[DataFrame], DataFrame] | None = None):
         self.spark, self.config = spark, (config or Config()).validate()
@@ -27,28 +27,66 @@ class Engine:
 
     # writing
 
-    def index(self, docs: DataFrame, whole: bool = False) -> int:
-        """Chunk and index docs(id, content, title, url, ts, metadata); documents whose id or URL is indexed already are replaced.
-        With dedup on, copies and near copies within the batch are indexed once. Gives the number of chunks."""
+    def index(self, docs: DataFrame, whole: bool = False, deduplicate: bool | None = None) -> int:
+        """Chunk and index docs(id, content, title, url, ts, metadata). Gives the number of chunks.
+
+        With dedup on (the default of the configuration, or deduplicate) documents meet the registry of all there are (D4): copies of an
+        entry add their URL to it, near copies replace its content (update_near) or are skipped, others become entries.
+        Documents whose id or URL is indexed already are replaced (D9). Deletions, chunks, postings, vectors and registry entries are one commit.
+        With dedup off (J5) everything is indexed as it comes.
+        """
+        scratch = S.Scratch(self.spark, "index")
         for name, kind in (("title", "string"), ("url", "string"), ("ts", "timestamp"), ("metadata", "map<string,string>")):
             if name not in docs.columns:
                 docs = docs.withColumn(name, F.lit(None).cast(kind))
-        if self.config.dedup.enabled:
-            found = dedup.classify(dedup.with_identity(docs, "content"), self.config.dedup.threshold, "id")
-            docs = S.Scratch(self.spark, "new").table(docs.join(found.filter("status = 'new'").select("id"), "id", "left_semi"), "docs")
+        registry, dead = {}, None
+        if self.config.dedup.enabled if deduplicate is None else deduplicate:
+            docs, registry["registry"], dead = self._register(docs.withColumn("id", F.col("id").cast("string")), scratch)
         c = self.config.chunking
         chunks = chunking.chunk_documents(docs, chunking.ChunkConfig(c.chunk_size, c.overlap, c.min_size), mode="whole" if whole else "sections", keep=("title", "url", "ts", "metadata"))
-        chunks = S.Scratch(self.spark, "index").table(chunks.withColumn("extra", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).drop("metadata"), "chunks")
-        self._drop(docs.select(F.col("id").cast("string").alias("document_id")), "document_id")
-        self._drop(docs.filter("url IS NOT NULL").select("url"), "url")
-        ingest.write_chunks(self.store, chunks, self.embedder)
-        return chunks.count()
+        chunks = scratch.table(chunks.withColumn("extra", F.coalesce("metadata", F.create_map().cast("map<string,string>"))).drop("metadata"), "chunks")
+        gone = self._keys(docs.select(F.col("id").cast("string").alias("document_id")), "document_id").union(self._keys(docs.filter("url IS NOT NULL").select("url"), "url"))
+        ingest.write_chunks(self.store, chunks, self.embedder, gone.union(dead) if dead is not None else gone, registry)
+        n = chunks.count()
+        scratch.drop()
+        return n
+
+    def _register(self, docs: DataFrame, scratch: S.Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(the documents to index, under the ids of their entries; the registry's new rows; the keys of its rows that go)."""
+        d = self.config.dedup
+        known = self.store.read("registry")
+        ids = scratch.table(dedup.with_identity(docs, "content").select("id", "content_hash", "simhash", "url"), "ids")
+        steps = S.Scratch(self.spark, "registry")
+        found = scratch.table(dedup.against_registry(ids, known, d.threshold, d.update_near, steps), "found")
+        steps.drop()
+        row = ids.join(found, "id")
+        key = lambda c: F.concat(F.lit("entry:"), F.col(c))
+        # an entry's content is that of the last document that changed it
+        fresh = row.filter("status IN ('indexed', 'content_updated')").groupBy("entry_id").agg(F.max_by(F.struct("id", "content_hash", "simhash"), "id").alias("l"))
+        fresh = scratch.table(fresh.select("entry_id", "l.*"), "fresh")
+        urls = row.filter("status <> 'skipped' AND url IS NOT NULL").select("entry_id", "url").unionByName(known.select("entry_id", F.explode("urls").alias("url")).join(row.select("entry_id").distinct(), "entry_id", "left_semi"))
+        urls = urls.groupBy("entry_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+        touched = row.filter("status <> 'skipped'").select("entry_id").distinct()
+        old = known.join(touched, "entry_id", "left_semi").select("entry_id", F.col("content_hash").alias("h"), F.col("simhash").alias("s"))
+        rows = touched.join(old, "entry_id", "left").join(fresh.drop("id"), "entry_id", "left").join(urls, "entry_id", "left")
+        none = F.array().cast("array<string>")
+        rows = rows.select(key("entry_id").alias("chunk_id"), "entry_id", F.coalesce("content_hash", "h").alias("content_hash"), F.coalesce("simhash", "s").alias("simhash"), F.coalesce("urls", none).alias("urls"))
+        named = fresh.select("id", "entry_id").hint("merge")
+        left = docs.join(named, "id").withColumn("id", F.col("entry_id")).drop("entry_id").dropDuplicates(["id"])
+        return scratch.table(left, "docs"), scratch.table(rows, "registry"), scratch.table(touched.select(key("entry_id").alias("chunk_id")), "old")
+
+    def _keys(self, keys: DataFrame, key: str) -> DataFrame:
+        """The keys of the chunks of these documents or URLs."""
+        return S.get_batch(self.store.read("chunks"), keys, key).select("chunk_id")
 
     def _drop(self, keys: DataFrame, key: str) -> int:
-        gone = S.Scratch(self.spark, "drop").table(S.get_batch(self.store.read("chunks"), keys, key).select("chunk_id", "document_id"), "gone")
-        n = gone.select("document_id").distinct().count()
+        scratch = S.Scratch(self.spark, "drop")
+        gone = scratch.table(S.get_batch(self.store.read("chunks"), keys, key).select("chunk_id", "document_id"), "gone")
+        names = gone.select("document_id").distinct()
+        n = names.count()
         if n:
-            self.store.commit(dead=gone)
+            self.store.commit(dead=gone.select("chunk_id").union(names.select(F.concat(F.lit("entry:"), "document_id"))))
+        scratch.drop()
         return n
 
     def delete(self, document_ids: list[str]) -> int:
@@ -66,8 +104,7 @@ class Engine:
     # reading
 
     def lexical_index(self) -> lexical.LexicalIndex:
-        lengths = self.store.read("lengths")
-        return lexical.LexicalIndex(self.store.read("postings"), lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+        return lexical.LexicalIndex(self.store.read("postings"), self.store.read("lengths"), lexical.statistics(self.spark, *self.store.size()))
 
     def search(self, query: str, top_k: int = 10, filters: retrieval.Filters | None = None, embedding: list[float] | None = None, mode: str = "post", explain: bool = False) -> DataFrame:
         if len(query.encode()) > MAX_QUERY_BYTES:
@@ -76,7 +113,7 @@ class Engine:
             row = self.spark.range(1).select(F.lit(query).alias("content"))
             embedding = self.embedder(row).first()["embedding"]
         r = self.config.retrieval
-        return retrieval.hybrid_search(self.lexical_index(), self.store.read("vectors"), self.store.read("chunks"), query, embedding, top_k, filters, r.candidates, r.rerank, mode, explain)
+        return retrieval.hybrid_search(self.lexical_index(), self.store.read("vectors"), self.store.read("chunks"), query, embedding, top_k, filters, r.candidates, r.rerank, mode, explain, r.rrf_k)
 
     def answer(self, query: str, top_k: int = 10, **kw) -> tuple[DataFrame, DataFrame]:
         """Grouped results and their citations."""

@@ -21,7 +21,14 @@ def _query(spark: SparkSession, sf: str) -> list[float]:
     return list(table(spark, sf, "embeddings").orderBy("vec_id").select("embedding").first()[0])
 
 
-@query("g1_lsh_signature")
+def _lsh_sql() -> str:
+    """Signatures with the planes written out as data."""
+    planes = ", ".join(f"({i}, {[float(x) for x in row]})" for i, row in enumerate(vector.plane_matrix(DIMS)))
+    word = lambda n: f"sum(CASE WHEN p < {64 * n} OR p >= {64 * n + 64} OR NOT up THEN 0::HUGEINT WHEN p = {64 * n} THEN -9223372036854775808::HUGEINT ELSE 1::HUGEINT << ({64 * n + 63} - p)::INT END)::BIGINT"
+    return f"WITH planes(p, w) AS (VALUES {planes}), s AS (SELECT vec_id, p, list_inner_product(embedding::DOUBLE[], w) > 0 AS up FROM embeddings, planes) SELECT vec_id, [{word(0)}, {word(1)}] AS signature FROM s GROUP BY 1"
+
+
+@query("g1_lsh_signature", _lsh_sql())
 def g1(spark: SparkSession, sf: str) -> DataFrame:
     return vector.lsh_signature(_vectors(spark, sf), DIMS).select("vec_id", "signature")
 
@@ -46,7 +53,11 @@ def g2(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", vector.signature_distance(F.col("signature"), F.col("f")).cast("int").alias("distance"), F.round(vector.signature_similarity(F.col("signature"), F.col("f")), 6).alias("similarity"))
 
 
-@query("g3_bloom_filters")
+@query(
+    "g3_bloom_filters",
+    f"""WITH b AS (SELECT DISTINCT source, i AS band, substr(m, (i * 4 + 1)::INT, 4) AS key FROM ({HEX}), range(8) t(i)), n AS (SELECT source, count(*) AS items FROM b GROUP BY 1)
+    SELECT source, items, (16 + ceil(greatest(8, ceil(items * -ln(0.01) / pow(ln(2), 2))) / 8))::INT AS bytes FROM n""",
+)
 def g3(spark: SparkSession, sf: str) -> DataFrame:
     return routing.bloom_filters(routing.band_index(_hashes(spark, sf), "source"), "source").select("source", "items", F.octet_length("bloom").alias("bytes"))
 
@@ -75,6 +86,29 @@ def g6(spark: SparkSession, sf: str) -> DataFrame:
     return routing.find_candidates(routing.advertise(_vectors(spark, sf), 32), _query(spark, sf))
 
 
+@query(
+    "g6_bloom_rejection",
+    f"WITH b AS (SELECT doc_id, source, i AS band, substr(m, (i * 4 + 1)::INT, 4) AS key FROM ({HEX}), range(8) t(i)), q AS (SELECT * FROM b WHERE doc_id % 50 = 0) SELECT DISTINCT q.doc_id AS query_id, b.source FROM q JOIN b USING (band, key)",
+)
+def g6_bloom(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes whose Bloom filters let the signature of every 50th document pass, less those that their exact bands rule out (false positives, one in a thousand or fewer)."""
+    h = _hashes(spark, sf)
+    index = routing.band_index(h, "source")
+    asked = h.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "signature")
+    passed = routing.bloom_candidates(routing.bloom_filters(index, "source", 1e-4), asked, "source")
+    exact = routing.matching_bands(index, asked, "source")
+    assert_none_lost = exact.join(passed, ["query_id", "source"], "left_anti").withColumn("query_id", F.lit(-1).cast("bigint"))  # a false negative would show
+    return passed.join(exact.select("query_id", "source"), ["query_id", "source"], "left_semi").unionByName(assert_none_lost.select("query_id", "source"))
+
+
+@query("g5_centroids", "SELECT label AS node_id, count(*) AS size, least(count(*), 4) AS centroids, true AS normal FROM embeddings GROUP BY 1")
+def g5_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Advertisements of up to four k-means centroids a node."""
+    ads = routing.advertise_clusters(_vectors(spark, sf), 4, 32)
+    length = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x * x))
+    return ads.groupBy("node_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("centroids"), F.min(F.abs(length - 1) < 1e-6).alias("normal"))
+
+
 @query("g7_upsert_ads", "SELECT label AS node_id, CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS version FROM (SELECT DISTINCT label FROM embeddings)")
 def g7(spark: SparkSession, sf: str) -> DataFrame:
     ads = table(spark, sf, "embeddings").select(F.col("label").alias("node_id"), F.lit(1).alias("version")).distinct()
@@ -141,9 +175,10 @@ def g11(spark: SparkSession, sf: str) -> DataFrame:
 def g12(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     ads = e.groupBy(F.col("user_id").alias("node_id")).agg(F.max("ts").alias("last_updated"))
-    now = e.agg(F.max("ts").alias("now"))
-    seconds = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000)
-    return ads.crossJoin(F.broadcast(now)).filter(seconds("now") - seconds("last_updated") <= 86400).drop("now")  # one row
+    now = e.agg(F.max("ts").cast("timestamp").alias("now"))  # one row
+    ads = ads.withColumn("last_updated", F.col("last_updated").cast("timestamp")).crossJoin(F.broadcast(now))
+    fresh = routing.fresh_ads(ads, F.col("now"), 86400)
+    return fresh.select("node_id", F.col("last_updated").cast("timestamp_ntz").alias("last_updated"))
 
 
 @query("g12_first_responses", "SELECT user_id AS request_id, event_type AS node_id, arg_min(event_id, [epoch_us(ts), event_id]) AS response_id FROM events WHERE event_type <> 'view' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'click') GROUP BY 1, 2")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekmill.config import Config
 from seekmill.functions import text as T
 from seekmill.operators import lexical, retrieval, vector
 from seekmill.plans import sql as Q
+from seekmill.plans.engine import Engine
 from seekmill.plans.registry import query, table
+from seekmill.sources.store import Scratch
 
 TEXT = "thing ing hand"
 TERMS = TEXT.split()
@@ -26,9 +29,13 @@ DENSE = f"""q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1)
 RRF = """fused AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)) / (2 / 61.0::DOUBLE), 6) AS score FROM (SELECT chunk_id, rank FROM bm25_top UNION ALL SELECT chunk_id, rank FROM dense_top) GROUP BY 1)"""
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
+
+
 def _index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("content"))
-    return lexical.build_index(docs)
+    """The index, written once in order of its terms; searches read it."""
+    return lexical.stored_index(_texts(spark, sf), Scratch(spark, "lexical").path("postings"))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +62,7 @@ CHUNKS = """chunks AS (SELECT doc_id::VARCHAR AS chunk_id, 'd' || (doc_id // 3)
 
 @query("e4_postings", r"SELECT term, doc_id::VARCHAR AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents) WHERE strlen(term) < 40 GROUP BY ALL")
 def e4(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf).postings
+    return lexical.build_index(_texts(spark, sf)).postings.select("term", "chunk_id", "tf")
 
 
 @query("e5_bm25_search", f"WITH {BM25} SELECT chunk_id, score FROM bm25_top WHERE rank <= 10")
@@ -107,8 +114,24 @@ def e7_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e9_rebuild_lexical", f"WITH {POST} SELECT (SELECT count(*) FROM post) AS n_postings, (SELECT sum(dl)::BIGINT FROM len) AS n_tokens, n AS n_chunks, round(avgdl, 6) AS avgdl FROM st")
 def e9(spark: SparkSession, sf: str) -> DataFrame:
-    i = _index(spark, sf)
-    return i.postings.agg(F.count(F.lit(1)).alias("n_postings")).crossJoin(i.lengths.agg(F.sum("dl").alias("n_tokens"))).crossJoin(i.stats.select(F.col("n").alias("n_chunks"), F.round("avgdl", 6).alias("avgdl")))
+    """An engine whose postings were lost builds them from its chunks."""
+    engine = Engine(spark, Scratch(spark, "rebuild").path("index"), Config(), "create")
+    engine.store.append("chunks", _texts(spark, sf))
+    engine.rebuild_lexical()
+    index = engine.lexical_index()
+    sums = index.postings.agg(F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_tokens"))
+    return sums.crossJoin(index.stats.select(F.col("n").alias("n_chunks"), F.round("avgdl", 6).alias("avgdl")))  # one row each
+
+
+@query("e7_lsh_recall", "SELECT count(*) AS n, true AS enough FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0), range(10)")
+def e7_lsh(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the ten nearest vectors of every 50th vector, whether the approximate search finds 9 in 10."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = vector.vector_search_batch(v, q, 10, "vec_id").select("query_id", "chunk_id")
+    near = vector.lsh_search_batch(v, q, 10, "vec_id").select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    both = exact.join(near, ["query_id", "chunk_id"], "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
 
 
 @query("f1_to_ranked", f"WITH {BM25} SELECT chunk_id, rank::INT AS rank, score AS original_score, 'bm25' AS method FROM bm25_top")

@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekmill.config import Config
-from seekmill.operators import metrics
+from seekmill.functions import identity
+from seekmill.operators import dedup, lexical, metrics
+from seekmill.plans import sql as Q
+from seekmill.plans.document_queries import PROCESS_SQL, process_sql
 from seekmill.plans.engine import Engine
 from seekmill.plans.registry import query, table
+from seekmill.plans.search_queries import BM25
 from seekmill.sources import files, store as S, wiki
 from seekmill.streaming import ingest
 
@@ -67,14 +71,52 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-@query("j4_import_dedup")
+@query("j4_import_dedup", f"SELECT status, count(*) AS n FROM ({PROCESS_SQL}) GROUP BY 1")
 def j4(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of what a deduplicating import does with the documents."""
-    from seekmill.operators import dedup
-
     return dedup.process(table(spark, sf, "documents")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _padded(spark: SparkSession, sf: str, prefix: str = "") -> DataFrame:
+    """Documents with ids that sort as their numbers do."""
+    d = table(spark, sf, "documents")
+    return d.select(F.concat(F.lit(prefix), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("id"), F.col("text").alias("content"), F.concat(F.lit("https://a.example/"), F.col("doc_id").cast("string")).alias("url"))
+
+
+@query(
+    "j4_registry",
+    f"SELECT entry_id, arg_max(hash, doc_id) FILTER (status <> 'metadata_updated') AS content_hash, count(*) AS n_urls FROM ({process_sql(0)}) JOIN (SELECT doc_id, sha256({Q.norm('text')}) AS hash FROM documents) USING (doc_id) GROUP BY 1",
+)
+def j4_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored registry after all documents came in."""
+    engine = Engine(spark, S.Scratch(spark, "engine").path("index"), Config(), "create")
+    engine.index(_padded(spark, sf))
+    return engine.store.read("registry").select(F.col("entry_id").cast("bigint").alias("entry_id"), "content_hash", F.size("urls").cast("bigint").alias("n_urls"))
+
+
+@query("j4_import_twice", f"SELECT count(DISTINCT entry_id) AS entries, (SELECT count(*) FROM documents) * 2 AS urls, true AS unchanged FROM ({process_sql(0)})")
+def j4_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose texts are known come again under other ids and URLs: entries stay as many and as they are but for their URLs."""
+    engine = Engine(spark, S.Scratch(spark, "engine").path("index"), Config(), "create")
+    engine.index(_padded(spark, sf))
+    first = S.Scratch(spark, "registry").table(engine.store.read("registry"), "first")
+    known = first.select("content_hash").distinct()
+    again = _padded(spark, sf, "again").withColumn("url", F.concat("url", F.lit("#again")))
+    engine.index(again.withColumn("h", identity.content_hash(F.col("content"))).join(known, F.col("h") == F.col("content_hash"), "left_semi").drop("h"))
+    rest = again.withColumn("h", identity.content_hash(F.col("content"))).join(known, F.col("h") == F.col("content_hash"), "left_anti").count()
+    now = engine.store.read("registry")
+    same = now.select("entry_id", "content_hash").join(first.select("entry_id", "content_hash"), ["entry_id", "content_hash"], "left_semi").count()
+    return now.agg(F.count(F.lit(1)).alias("entries"), (F.sum(F.size("urls")) + rest).alias("urls"), (F.count(F.lit(1)) == same).alias("unchanged"))
+
+
+@query("j5_import_plain", "SELECT count(*) AS documents, count(*) AS chunks, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE trim(text) <> ''")
+def j5(spark: SparkSession, sf: str) -> DataFrame:
+    """An import without dedup: every document that has text is indexed, whole."""
+    engine = Engine(spark, S.Scratch(spark, "engine").path("index"), Config(), "create")
+    engine.index(_padded(spark, sf), whole=True, deduplicate=False)
+    return engine.stats()
+
+
 @query("j7_latest_status", "SELECT user_id, arg_max(event_type, [epoch_us(ts), event_id]) AS event_type, max(ts) AS ts, arg_max(event_id, [epoch_us(ts), event_id]) AS event_id FROM events GROUP BY 1")
 def j7(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.latest_status(table(spark, sf, "events"))
@@ -118,6 +160,19 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select("citation", "document_id", "score", "n_chunks")
 
 
+@query("j10_stored_search", f"WITH {BM25} SELECT chunk_id, score FROM bm25_top WHERE rank <= 10")
+def j10_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """E1, E5 over a stored index: documents written in two commits, of which the second replaces some chunks of the first, then searched."""
+    store = S.Store(spark, S.Scratch(spark, "engine").path("index"), "create")
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"), (F.col("doc_id") % 3).alias("k"))
+    empty = chunks.filter("trim(coalesce(content, '')) = ''").select("chunk_id", F.lit(0).cast("bigint").alias("dl"))
+    ingest.write_chunks(store, chunks.filter("k < 2").withColumn("content", F.when(F.col("k") == 0, "an old version").otherwise(F.col("content"))).drop("k"))
+    ingest.write_chunks(store, chunks.filter("k <> 1").drop("k"), dead=chunks.filter("k = 0").select("chunk_id"), add={})
+    store.append("lengths", empty)  # documents without text count in the mean length
+    index = lexical.LexicalIndex(store.read("postings"), store.read("lengths"), lexical.statistics(spark, *store.size()))
+    return lexical.bm25_search(index, "thing ing hand", 10)
+
+
 @query("j14_cache_eviction", "SELECT event_id FROM (SELECT event_id, sum(1 + event_id % 5) OVER (ORDER BY ts DESC, event_id ROWS UNBOUNDED PRECEDING) AS used, ts FROM events) WHERE used <= 5000 AND ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAYS")
 def j14(spark: SparkSession, sf: str) -> DataFrame:
     from seekmill.operators import cache

@@ -7,24 +7,30 @@ import shutil
 import tempfile
 from pathlib import Path
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "seekmill", cpus: int | str | None = None, **conf: str) -> SparkSession:
-    """A session for local use; on a cluster the submitter's settings win (getOrCreate)."""
-    cpus = cpus or os.environ.get("BENCH_CPUS") or 8
+    """The running session; else a new one, in which what spark-submit set stands and the settings below fill the rest.
+    conf and cpus are the caller's wish for a new session."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
+    submitted = SparkConf()  # what the submitter set
     base = {
-        "spark.master": f"local[{cpus}]",
+        "spark.master": f"local[{cpus or os.environ.get('BENCH_CPUS') or 8}]",
         "spark.driver.memory": "8g",
-        "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
+    if not submitted.contains("spark.master"):
+        base["spark.sql.shuffle.partitions"] = "8"  # a single machine
     builder = SparkSession.builder.appName(app)
-    for key, value in {**base, **conf}.items():
+    for key, value in {**{k: v for k, v in base.items() if not submitted.contains(k)}, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own where that is unset, as in tests."""
+    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own where that is unset on a single machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="seekmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -33,12 +35,27 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more; without names the whole folder."""
+        fs = _Fs(self.spark, self.root)
+        for path in [self.path(n) for n in names] or [self.root]:
+            fs.fs.delete(fs.at(path), True)
+
 
 CHUNKS = (
     "chunk_id string, document_id string, ordinal int, content string, token_count int, url string, title string, ts timestamp, position double, "
     "section_hierarchy array<string>, preceding_chunk_id string, following_chunk_id string, extra map<string,string>"
 )
-TABLES = {"chunks": CHUNKS, "postings": "term string, chunk_id string, tf bigint", "lengths": "chunk_id string, dl bigint", "vectors": "chunk_id string, embedding array<float>"}
+#: The tables of an index. Postings are stored in order of their terms and carry the length of their chunk; a registry entry's key is "entry:" and its document.
+TABLES = {
+    "chunks": CHUNKS,
+    "postings": "term string, chunk_id string, tf bigint, dl bigint",
+    "lengths": "chunk_id string, dl bigint",
+    "vectors": "chunk_id string, embedding array<float>",
+    "registry": "chunk_id string, entry_id string, content_hash string, simhash bigint, urls array<string>",
+    "ads": "chunk_id string, node_id string, centroid_id int, centroid array<double>, size bigint, last_updated timestamp",
+}
+ORDER = {"postings": ["term", "chunk_id"]}
 
 
 class _Fs:
@@ -124,6 +141,8 @@ class Store:
         missing = [c for c in TABLES.get(name, "chunk_id string").split(", ") if c.split(" ")[0] not in df.columns]
         df = df.withColumns({c.split(" ", 1)[0]: F.lit(None).cast(c.split(" ", 1)[1]) for c in missing}) if missing else df
         df = df.select(*(F.col(c.split(" ")[0]).cast(c.split(" ", 1)[1]) for c in TABLES.get(name, "chunk_id string").split(", ")))
+        if name in ORDER:  # in order, so that row groups are skipped by their smallest and largest keys; a hot term spans many files
+            df = df.orderBy(*ORDER[name])
         df.write.parquet(f"{self.path}/{folder}")
         return folder, self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
 
@@ -132,13 +151,28 @@ class Store:
         replace: the tables named consist of this commit only."""
         n, m = self._manifest()
         n += 1
+        size = m.get("size", [0, 0])
+        gone = None
+        if dead is not None and any(m["tables"].values()):
+            gone, keys = self.stage("dead", dead.select("chunk_id").distinct())
+            if m["tables"].get("lengths"):
+                lost = self.read("lengths").join(keys, "chunk_id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+                size = [size[0] - lost[0], size[1] - lost[1]]
         for name, df in (add or {}).items():
             folder = df if isinstance(df, str) else self.stage(name, df)[0]
             m["tables"][name] = [*([] if replace else m["tables"].get(name, [])), [n, folder]]
-        if dead is not None and any(m["tables"].values()):
-            m["dead"].append([n, self.stage("dead", dead.select("chunk_id").distinct())[0]])
+            if name == "lengths":
+                new = self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{folder}").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+                size = [new[0], new[1]] if replace else [size[0] + new[0], size[1] + new[1]]
+        if gone:
+            m["dead"].append([n, gone])
+        m["size"] = size
         self._publish(n, m)
 
+    def size(self) -> tuple[int, int]:
+        """The numbers of chunks and of their tokens, which each commit brings up to date."""
+        return tuple(self._manifest()[1].get("size", [0, 0]))
+
     def write(self, name: str, df: DataFrame) -> None:
         self.commit({name: df}, replace=True)
 
@@ -186,11 +220,21 @@ def export_rows(chunks: DataFrame) -> DataFrame:
 
 
 def export(chunks: DataFrame, path: str, fmt: str = "jsonl") -> None:
-    """JSON lines (in parallel), or one JSON array (a single file, so a single task)."""
+    """JSON lines, or one JSON array: the files of the folder in order of their names. Both are written in parallel."""
     rows = export_rows(chunks)
     if fmt == "jsonl":
         rows.write.mode("overwrite").text(path)
     elif fmt == "json":
-        rows.coalesce(1).agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value")).write.mode("overwrite").text(path)
+        # written in parallel; the first row opens the array, the last one closes it, all others end in commas
+        parts = Scratch(chunks.sparkSession, "export")
+        kept = parts.table(rows.withColumn("n", F.monotonically_increasing_id()), "rows")
+        last = kept.agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        value = F.concat(F.when(F.col("n") == F.col("low"), "[\n").otherwise(""), F.col("value"), F.when(F.col("n") == F.col("high"), "\n]").otherwise(","))
+        lines = kept.crossJoin(F.broadcast(last)).orderBy("n").select(value.alias("value"))  # one row
+        if kept.take(1):
+            lines.write.mode("overwrite").text(path)
+        else:
+            chunks.sparkSession.createDataFrame([("[\n]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        parts.drop()
     else:
         raise ValueError(f"unknown export format {fmt}")

@@ -248,6 +248,91 @@ def test_engine(spark, tmp_path):
         again.search("x" * 20_000)
 
 
+def _bits(a: int, b: int) -> int:
+    return bin((a ^ b) & (1 << 64) - 1).count("1")
+
+
+def test_registry_of_several_imports_is_that_of_one_by_one(spark, tmp_path):
+    """Batches against a registry kept in a plain dictionary."""
+    import random
+
+    rng = random.Random(3)
+    base = [[rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rng.randrange(90)) for _ in range(120)] for _ in range(6)]
+    rows, n = [], 0
+    for batch in range(3):
+        rows.append([])
+        for b in base[: 3 + batch]:
+            for edit in (0, 0, 1):
+                words = list(b)
+                if edit:
+                    words[rng.randrange(120)] = f"edit{n}"
+                rows[-1].append((f"{n:05d}", " ".join(words), f"https://e.org/{n}"))
+                n += 1
+    engine = Engine(spark, f"file://{tmp_path}/registry", Config.from_toml("[chunking]\nmin_size = 1\n"), "create")
+    known: dict[str, list] = {}  # entry: hash, simhash, urls
+    for batch in rows:
+        docs = spark.createDataFrame(batch, "id string, content string, url string")
+        marks = {r.id: (r.content_hash, r.simhash) for r in dedup.with_identity(docs, "content").collect()}
+        engine.index(docs)
+        before, fresh = {e: tuple(v[:2]) for e, v in known.items()}, {}
+        for i, _, url in batch:
+            h, s = marks[i]
+            same = sorted(e for e, (eh, _) in before.items() if eh == h)
+            near = sorted((_bits(s, es), e) for e, (_, es) in before.items() if _bits(s, es) <= 3)
+            own = sorted((_bits(s, es), e) for e, es in fresh.items() if _bits(s, es) <= 3)
+            entry = same[0] if same else near[0][1] if near else own[0][1] if own else i
+            if entry == i:
+                known[i], fresh[i] = [h, s, {url}], s
+            else:
+                known[entry][2].add(url)
+                if not same and not (entry in fresh and known[entry][0] == h):
+                    known[entry][:2] = [h, s]
+    got = {r.entry_id: [r.content_hash, r.simhash, set(r.urls)] for r in engine.store.read("registry").collect()}
+    assert got == known and len(known) >= 5
+    assert {r.document_id for r in engine.store.read("chunks").select("document_id").distinct().collect()} == set(known)
+
+
+def test_a_hot_entry_keeps_its_turns(spark):
+    """Many copies of two near texts in turn: what was indexed last decides, over the borders of partitions."""
+    y = spark.createDataFrame([(i, "ab"[(i // 5) % 2], 0) for i in range(200)] + [(1000 + i, "c", 1000) for i in range(30)], "id bigint, content_hash string, entry_id bigint")
+    got = {r.id: r.again for r in dedup._turns(y.repartition(7)).collect()}
+    assert got == {**{i: i > 0 and (i // 5) % 2 == ((i - 1) // 5) % 2 for i in range(200)}, **{1000 + i: i > 0 for i in range(30)}}
+
+
+def test_recent_duplicates_forget(spark):
+    pages = spark.createDataFrame([(i, h) for i, h in enumerate("abcabdeefa")], "page_id bigint, content_hash string")
+    got = [r.status for r in dedup.recent_duplicates(pages, "page_id", 3).orderBy("page_id").collect()]
+    assert got == ["new", "new", "new", "seen", "seen", "new", "new", "seen", "new", "new"]
+
+
+def test_searches_read_the_terms_they_need(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("CAST(doc_id AS STRING) AS chunk_id", "text AS content")
+    index = lexical.stored_index(docs, f"file://{tmp_path}/postings")
+    terms = [r.term for r in index.postings.select("term").collect()]
+    files = [sorted(f.select("term").distinct().collect()) for f in (spark.read.parquet(x) for x in index.postings.inputFiles())]
+    spans = sorted((f[0].term, f[-1].term) for f in files if f)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and len(terms) > 1000
+    plan = lexical.bm25_scores(index, "thing")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,thing)]" in plan or "In(term" in plan or "EqualTo(term" in plan
+
+
+def test_deep_pages_are_read():
+    from seekmill.functions import html
+
+    deep = "<div>" * 20_000 + "<p>the text</p>" + "</div>" * 20_000
+    assert "the text" in html.render(html.parse(f"<html><body>{deep}</body></html>"))
+
+
+def test_pages_are_filtered(spark):
+    from seekmill.sources import wiki
+
+    text = "'''Bold''' words about [[Main page|a page]] in {{template}} a sentence that is long enough to be kept here, and more of it."
+    pages = spark.createDataFrame([(1, 0, "A b", False, text), (2, 1, "B", False, text), (3, 0, "C", True, text), (4, 0, None, False, text), (5, 0, "E", False, "short"), (6, 0, "F", False, "{{" + "x" * 200 + "}}")], "id bigint, ns int, title string, redirect boolean, wikitext string")
+    got = wiki.page_documents(pages.withColumn("file", F.lit("enwiki.xml")).withColumn("modified", F.lit(None).cast("timestamp"))).collect()
+    assert [(r.id, r.url.rpartition("/")[2]) for r in got] == [("1", "A_b")]
+    assert "Bold words about a page in" in got[0].content and "[[" not in got[0].content and "{{" not in got[0].content
+
+
 def test_config_reports_all_errors():
     with pytest.raises(ValueError) as e:
         Config.from_toml("[index]\ndims = 0\n[chunking]\noverlap = 2.0\n")
