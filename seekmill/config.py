@@ -9,7 +9,6 @@ from dataclasses import dataclass, field, fields
 @dataclass
 class IndexConfig:
     dims: int = 64
-    max_vectors: int = 1_000_000
 
 
 @dataclass
@@ -64,7 +63,6 @@ class Config:
     def validate(self) -> Config:
         tests = [
             (1 <= self.index.dims <= 4096, "index.dims must be from 1 to 4096"),
-            (self.index.max_vectors > 0, "index.max_vectors must be positive"),
             (self.chunking.chunk_size > 0, "chunking.chunk_size must be positive"),
             (0 <= self.chunking.overlap < 1, "chunking.overlap must be from 0 to below 1"),
             (0 <= self.chunking.min_size <= self.chunking.chunk_size, "chunking.min_size must not exceed chunk_size"),

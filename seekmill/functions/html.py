@@ -203,7 +203,7 @@ def extract_one(html: str, url: str) -> tuple:
         elif n.tag == "script" and a.get("type") == "application/ld+json":
             try:
                 flatten_json_ld(json.loads(n.text()), ld)
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass
         elif n.tag == "link":
             feed = feed or a.get("type") in ("application/rss+xml", "application/atom+xml")

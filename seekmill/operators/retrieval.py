@@ -116,7 +116,7 @@ def pipeline(*stages: Stage, explain: bool = False) -> Stage:
 
 def hybrid_search(
     index: lexical.LexicalIndex, vectors: DataFrame | None, chunks: DataFrame, query: str, embedding: list[float] | None = None, top_k: int = 10,
-    filters: Filters | None = None, candidates: int = 50, rerank: bool = True, mode: str = "post", explain: bool = False, rrf_k: int = 60,
+    filters: Filters | None = None, candidates: int = 50, rerank: bool = True, mode: str = "post", explain: bool = False, rrf_k: int = 60, min_multiplier: float = 0.5,
 ) -> DataFrame:
     """BM25 and vector candidates, fused by rank, joined to their chunks (unknown ones vanish), filtered, scored and cut to top_k.
     mode="post" filters the fused list (of three times as many candidates); mode="pre" filters the chunks first, so
@@ -141,7 +141,7 @@ def hybrid_search(
     if mode != "pre":
         hits = hits.filter(filters.column())
     hits = hits.orderBy(F.desc("score"), "chunk_id").limit(top_k)
-    stages = [aggregator_demotion(), *([overlap_rerank(query)] if rerank else [])]
+    stages = [aggregator_demotion(min_multiplier), *([overlap_rerank(query)] if rerank else [])]
     return hits.transform(pipeline(*stages, explain=explain)).orderBy(F.desc("score"), "chunk_id")
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekmill.config import Config
-from seekmill.functions import text as T
-from seekmill.operators import chunking, clustering, dedup, lexical, retrieval
+from seekmill.functions import robots, text as T
+from seekmill.operators import chunking, clustering, crawl, dedup, lexical, retrieval, routing
 from seekmill.sources import store as S
 from seekmill.streaming import ingest
 
@@ -113,7 +113,7 @@ class Engine:
             row = self.spark.range(1).select(F.lit(query).alias("content"))
             embedding = self.embedder(row).first()["embedding"]
         r = self.config.retrieval
-        return retrieval.hybrid_search(self.lexical_index(), self.store.read("vectors"), self.store.read("chunks"), query, embedding, top_k, filters, r.candidates, r.rerank, mode, explain, r.rrf_k)
+        return retrieval.hybrid_search(self.lexical_index(), self.store.read("vectors"), self.store.read("chunks"), query, embedding, top_k, filters, r.candidates, r.rerank, mode, explain, r.rrf_k, r.min_multiplier)
 
     def answer(self, query: str, top_k: int = 10, **kw) -> tuple[DataFrame, DataFrame]:
         """Grouped results and their citations."""
@@ -129,5 +129,31 @@ class Engine:
             raise ValueError("from 1 to 1000 URLs")
         return clustering.cluster_documents(self.spark.createDataFrame([(u,) for u in urls], "url string"), self.store.read("chunks"), self.store.read("vectors"), k)
 
+    # crawling
+
+    def discover(self, found: DataFrame, seen: DataFrame, ring: DataFrame | None = None) -> DataFrame:
+        """I1 within the configured depth and number of URLs a host."""
+        c = self.config.crawl
+        return crawl.add_discovered(found.filter(F.col("depth") <= c.max_depth), seen, ring, c.per_domain)
+
+    def delay(self, crawl_delay: Column) -> Column:
+        """The seconds between requests to a host."""
+        c = self.config.crawl
+        return robots.delay_seconds(crawl_delay, c.default_delay, c.min_delay, c.max_delay)
+
+    # advertisements
+
+    def advertise(self, node_id: str, centroids: int = 4) -> None:
+        """Publish the k-means centroids of this index as those of a node, in place of its former ones."""
+        vectors = self.store.read("vectors").withColumn("node_id", F.lit(node_id))
+        ads = routing.advertise_clusters(vectors, centroids, id_col="chunk_id")
+        rows = ads.select(F.concat_ws(":", F.lit("ad"), "node_id", "centroid_id").alias("chunk_id"), "node_id", F.col("centroid_id").cast("int").alias("centroid_id"), "centroid", "size", F.current_timestamp().alias("last_updated"))
+        self.store.commit({"ads": rows}, dead=self.store.read("ads").filter(F.col("node_id") == node_id).select("chunk_id"))
+
+    def candidates(self, query: list[float], top: int = 5, max_age: int = 3600) -> DataFrame:
+        """The nodes to ask, by their fresh advertisements."""
+        ads = routing.fresh_ads(self.store.read("ads"), F.current_timestamp(), max_age)
+        return routing.find_candidates(ads.select("node_id", "centroid_id", "centroid"), query, top)
+
     def export(self, path: str, fmt: str = "jsonl") -> None:
         S.export(self.store.read("chunks"), path, fmt)

@@ -9,6 +9,7 @@ from seekmill.functions import dates, html, identity, robots, snippet, text as T
 from seekmill.operators import clustering, routing
 from seekmill.plans import sql as Q
 from seekmill.plans.registry import query, table
+from seekmill.sources import files
 
 DOC_WORDS = f"(SELECT doc_id, {Q.words(Q.norm('text'))} AS ws FROM documents)"
 
@@ -257,6 +258,11 @@ def a8(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.text_title(F.col("text")).alias("title"))
 
 
+@query("a10_html_documents")
+def a10(spark: SparkSession, sf: str) -> DataFrame:
+    return files.html_documents(table(spark, sf, "pages"))
+
+
 @query("a15_links")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "pages").withColumn("x", html.extract(F.col("html"), F.col("url")))

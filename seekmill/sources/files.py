@@ -77,7 +77,8 @@ def fetch(targets: DataFrame, fetcher: Callable[[str], tuple[int, str, str, str]
                     rows.append((url, url, 0, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["url", "final_url", "status", "mime", "body", "error"])
 
-    return targets.select("url").mapInPandas(run, "url string, final_url string, status int, mime string, body string, error string")
+    spread = targets.select("url").repartition(max(1, -(-targets.count() // per_task)))  # tasks of about per_task URLs
+    return spread.mapInPandas(run, "url string, final_url string, status int, mime string, body string, error string")
 
 
 def html_documents(pages: DataFrame) -> DataFrame:

@@ -333,6 +333,43 @@ def test_pages_are_filtered(spark):
     assert "Bold words about a page in" in got[0].content and "[[" not in got[0].content and "{{" not in got[0].content
 
 
+def test_advertisements_are_published_and_replaced(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/ads", Config.from_toml("[chunking]\nmin_size = 1\n"), "create")
+    engine.index(spark.createDataFrame([(str(n), f"Words number {n} about the subject {n % 3} and others of its kind.") for n in range(12)], "id string, content string"), whole=True)
+    for _ in range(2):
+        engine.advertise("here", 3)
+    ads = engine.store.read("ads").collect()
+    assert 1 <= len(ads) <= 3 and sum(a["size"] for a in ads) == engine.store.read("vectors").count()
+    query = list(engine.store.read("vectors").first().embedding)
+    assert [r.node_id for r in engine.candidates(query).collect()] == ["here"] and engine.candidates(query, max_age=-1).collect() == []
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import io
+    import json
+
+    from seekmill.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    for name, text in (("a", "Lighthouses guide ships along dark coasts at night."), ("b", "Bread needs flour, water, salt and a warm oven.")):
+        (tmp_path / "in" / f"{name}.txt").write_text(text)
+    (tmp_path / "c.toml").write_text("[chunking]\nmin_size = 1\n")
+
+    def run(*words):
+        out = io.StringIO()
+        assert main(["--index", f"file://{tmp_path}/cli", "--config", str(tmp_path / "c.toml"), *words], out) == 0
+        return [json.loads(x) for x in out.getvalue().splitlines()]
+
+    assert run("index", str(tmp_path / "in")) == [{"chunks": 2}] and run("index", str(tmp_path / "in")) == [{"chunks": 0}]
+    assert "Lighthouses" in run("search", "dark coasts", "--top", "1")[0]["snippet"]
+    assert run("stats")[0]["documents"] == 2
+    run("export", f"file://{tmp_path}/out", "--format", "json")
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert len(json.loads(whole)) == 2
+    run("rebuild"), run("compact"), run("clear")
+    assert run("stats")[0]["chunks"] == 0
+
+
 def test_config_reports_all_errors():
     with pytest.raises(ValueError) as e:
         Config.from_toml("[index]\ndims = 0\n[chunking]\noverlap = 2.0\n")
