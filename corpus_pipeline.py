@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents; mixing emits a row for every copy of a document, packing gives the place of
 every piece of every copy.
+
+All stages take NULLs in any column, empty and very long texts (whole), repeated rows and an empty table, and keep columns of any name: quality judges rows one by
+one, a NULL or empty text as one without words; line and near dedup leave rows without text alone, treat rows of equal id and text alike and
+let the first of equal texts by (id, hash of the text) stay, NULL ids first; mixing takes NULL for a source of its own and draws for a
+NULL id as for the string 'null'; packing gives no piece to texts without words. Ties: a score at the threshold stays, so does a similarity at the threshold link.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ ORACLE_SQL: str | None = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, rejects go."""
+    """Documents that the classifier, trained on the labelled ones, rejects go. Without labels all stay."""
     return quality.quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,17 +36,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the first by (id, hash of the text); rows without words stay."""
     return near_dedup.near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smaller sources are repeated, towards weights of tokens ** 0.7."""
+    """Smaller sources are repeated, towards weights of tokens ** 0.7; the largest is taken once, so nothing is lost."""
     return mixing.mix_sources(docs, copy_col=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Sequences of 2048 tokens; longer documents are cut into pieces, of which none is lost."""
     return packing.pack(docs)
 
 

@@ -46,3 +46,20 @@ def test_documents_that_came_in_empty_stay(spark, sf_dir):
     run = " ".join(f"w{n}" for n in range(60))
     docs = brute.table(spark, [(1, run, "a"), (2, run, "a"), (3, "", "a"), (4, None, "a")])
     assert sorted(r.doc_id for r in cp.dedup_lines(spark, docs, sf_dir).collect()) == [1, 3, 4]
+
+
+def test_run_over_nasty_rows(spark, sf_dir, tmp_path):
+    """NULLs, repeats, empty and very long texts and columns of clashing names go through all stages; every word that stays is packed once a copy."""
+    docs = brute.nasty(spark, "score keep th d band _mix_n")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (4, 1), (None, 1)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = cp.run(spark, str(tmp_path)).collect()
+    packed = Counter()
+    for r in out:
+        packed[r.doc_id] += r.n_tokens
+    # the row without an id comes first, so its copies under id 1 go; the long text is whole
+    assert packed[4] % 60_000 == 0 and packed[4] > 0 and packed[None] > 0 and packed[1] == 0 and packed[2] == packed[3] == 0
+    load = Counter()
+    for r in out:
+        load[r.bin_id] += r.n_tokens
+    assert max(load.values()) <= 2048
