@@ -26,7 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
-    Writing is Spark's own commit protocol, so a retried task never leaves half a table.
+    Writing is Spark's own commit protocol, so a retried task never leaves half a table. What isn't dropped before goes when the
+    application ends, as results may be read until then.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -34,6 +35,8 @@ class Scratch:
         jvm = spark.sparkContext._jvm
         base = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
         fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(base)
+        fs.deleteOnExit(base)
         self.root = fs.makeQualified(base).toString().replace("file:/", "file:///").replace("file://///", "file:///")
 
     def path(self, name: str) -> str:
