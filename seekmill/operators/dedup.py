@@ -3,7 +3,8 @@
 Equal SimHashes are one node before any join, so copies never pair up with one another. Two hashes that differ in at most t
 of 64 bits agree on at least CHOOSE of t + CHOOSE blocks; the join keys are therefore all choices of CHOOSE blocks: exact, as is a join
 on 8 bands of 8 bits for t <= 7, but with keys of 32 bits at t = 3 and not of 8, which at billions of documents decides between
-a few candidates and millions.
+a few candidates and millions. Beyond a threshold of 5 the keys are of two blocks, 10 bits at t = 10, so that candidates grow with the square of
+the different hashes divided by 2 ** 10: exact, and meant for the reference's scales, not for billions.
 """
 
 from __future__ import annotations

@@ -111,6 +111,22 @@ def b14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tokenizers.token_count(F.col("text")).alias("n_tokens"))
 
 
+#: A file of BPE ranks; it must lie there on every executor.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query("b15_bpe_tokens")
+def b15(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tokenizers.token_count(F.col("text"), "bpe", RANKS).alias("n_tokens"))
+
+
+@query("b16_tokenizer_resolution", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'cl100k_base' ELSE 'heuristic' END AS encoding FROM documents")
+def b16(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoding that stands for a model's name, here one of the family for sources src1..., an unknown one else."""
+    known, unknown = tokenizers.resolve(model="text-embedding-3-small"), tokenizers.resolve(model="another")
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("source").startswith("src1"), known).otherwise(unknown).alias("encoding"))
+
+
 @query("b17_normalize_url", f"SELECT page_id, {Q.norm_url('url')} AS norm_url FROM pages")
 def b17(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("norm_url"))

@@ -23,10 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage and outlive lost executors."""
+    """Written tables that cut lineage and outlive lost executors. What isn't dropped before goes when the application ends, as
+    results may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        files = _Fs(spark, self.root)
+        files.fs.mkdirs(files.at(self.root))
+        files.fs.deleteOnExit(files.at(self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -238,6 +238,36 @@ def j10_engine_search(rows, t):
     assert all(a.score >= b.score for a, b in zip(rows, rows[1:])) and all(0 <= r.score <= 1 and r.document_id in texts for r in rows)
 
 
+def b15_bpe_tokens(rows, t):
+    """Merging the pair of the lowest rank, one at a time."""
+    import base64
+
+    import regex
+
+    from seekmill.functions.tokenizers import _PATTERN
+    from seekmill.plans.text_queries import RANKS
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    sizes: dict = {}
+
+    def size(word: str) -> int:
+        parts = [bytes([b]) for b in word.encode()]
+        while word.encode() not in ranks and len(parts) > 1:
+            rank, at = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 30:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return 1 if word.encode() in ranks else len(parts)
+
+    got = {r.doc_id: r.n_tokens for r in rows}
+    for i, text in t("doc_id, text", "documents"):
+        n = 0
+        for w in regex.findall(_PATTERN, text or ""):
+            n += sizes[w] if w in sizes else sizes.setdefault(w, size(w))
+        assert got[i] == n, i
+
+
 def a10_html_documents(rows, t):
     pages = {url: page for url, page in t("url, html", "pages")}
     for r in rows:
