@@ -26,6 +26,24 @@ def test_token_counts_of_nasty_rows(spark):
     assert token_counts.token_counts(docs.limit(0)).collect() == []
 
 
+def test_ids_of_large_vocabularies_take_four_bytes(spark):
+    """A separator above 65 535 must not be that number cut to two bytes, which is an ordinary token."""
+    docs = brute.table(spark, [(i, "one two three four " * (i + 1), "s") for i in range(20)])
+    enc = token_counts.encoder()
+    some = enc.encode_ordinary("one two three")[0]
+    assert token_counts.id_type() == "<u2" and token_counts.id_type(eod=(1 << 16) + some) == "<u4"
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, eod=(1 << 16) + some, block_tokens=37).collect()}
+    assert got == {i: len(enc.encode_ordinary("one two three four " * (i + 1))) for i in range(20)}
+
+
+def test_mixing_by_any_measure_of_tokens(spark):
+    docs = brute.table(spark, [(i, "a b c", "big" if i < 8 else "small") for i in range(10)]).selectExpr("*", "CASE WHEN source = 'big' THEN 100 WHEN doc_id = 8 THEN 50 END AS n")
+    rates = {r.source: (r.n_tokens, r.rate) for r in mixing.source_rates(docs, docs.n, alpha=0.5).collect()}
+    assert rates == {"big": (800, 1.0), "small": (50, 4.0)}
+    got = Counter(r.source for r in mixing.mix_sources(docs, alpha=0.5, tokens=docs.n).collect())
+    assert got == {"big": 8, "small": 8}
+
+
 def test_separator_text_is_ordinary(spark):
     docs = brute.table(spark, [(1, "a <|endoftext|> b", "s"), (2, "c", "s")])
     assert {r.doc_id for r in token_counts.token_counts(docs).collect()} == {1, 2}
