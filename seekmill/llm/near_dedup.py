@@ -5,13 +5,14 @@ A document is the set of its shingles of SHINGLE words. Register i of its sketch
 larger ones of the parts, so sketches merge; equal registers are the more likely the more alike two sets are. Four
 registers are a band, a 64-bit key; documents that share a key become candidates. The Jaccard similarity of a
 candidate pair is estimated from the numbers of registers that are greater, less and equal, by maximum likelihood
-(Ertl, SetSketch, 2021); pairs that could reach the threshold are verified on their texts, exactly.
+(Ertl, SetSketch, 2021); pairs that could reach the threshold are verified on their texts, exactly, at once.
 
 Texts equal but for case and punctuation are one node. A bucket is a star, not all its pairs: its members are compared with
 one of them, the leader, who has then met everyone and leaves. Groups are the connected components of the pairs verified so far;
 while the members left in a bucket belong to several groups, they meet again with WIDEN times as many leaders, members with the
-most matches first. Only pairs that are in one group already are never compared, so the groups are those of all pairs of all
-buckets. A bucket of copies costs its size, and members that are all different meet all others in the end.
+most matches first. A bucket of copies costs its size, and members that are all different meet all others in the end, unless
+they are of more than SPLIT groups. Members of such wide buckets, and those of pairs whose estimate fell short and which ended in different groups,
+are joined on their sets of shingles, exactly (a prefix filter: _alike). So the groups are those of all pairs of all buckets, or of larger ones.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ THRESHOLD = 0.6
 BANDS, ROWS = 32, 4
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: Standard errors of the estimate below the threshold at which a pair is still verified.
+#: Standard errors of the estimate below the threshold at which a pair is still verified at once; others wait for the join of what is left.
 SLACK = 3.0
 #: A bucket's leaders become so many times more from round to round.
 WIDEN = 4
-#: A bucket with more groups than SPLIT after so many rounds is split by a second band.
+#: A bucket with more groups than SPLIT after so many rounds is left to the join.
 SPLIT, SPLIT_ROUND = 256, 2
 
 _rng = np.random.default_rng(7_2021)
@@ -203,16 +204,49 @@ def _several(known: DataFrame) -> DataFrame:
     return known.join(several.hint("merge"), ["band", "key"])
 
 
-def _split(members: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
-    """members, where buckets of more than SPLIT groups are replaced by their parts that share a second band."""
+def _wide(members: DataFrame) -> DataFrame:
+    """(band, key): the buckets of more than SPLIT groups."""
     groups = members.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-    wide = scratch.table(groups.filter(F.col("n") > SPLIT).select("band", "key"), "wide")
-    if not wide.take(1):
-        return members
-    over = members.join(wide.hint("merge"), ["band", "key"]).join(sketches.hint("merge"), "v")
-    parts = over.select("band", "key", "v", "root", "degree", F.posexplode("sketch").alias("second", "other")).filter("second <> band")
-    parts = parts.select((F.col("band") * BANDS + F.col("second") + BANDS).alias("band"), F.xxhash64("key", "other").alias("key"), "v", "root", "degree")
-    return members.join(wide.hint("merge"), ["band", "key"], "left_anti").unionByName(_several(parts))
+    return groups.filter(F.col("n") > SPLIT).select("band", "key")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(v, root, n, h): the n distinct shingles of texts (v, root, text), as hashes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, size = 0, pdf["text"].str.len().to_numpy()
+            while at < len(pdf):
+                to, chars = at + 1, size[at]
+                while to < len(pdf) and chars + size[to] < 4_000_000:
+                    chars += size[to]
+                    to += 1
+                part, at = pdf.iloc[at:to], to
+                hashes = [np.unique(shingles([fold(t)])[0]).view(np.int64) for t in part["text"]]
+                yield pd.DataFrame({"v": part["v"].to_numpy(), "root": part["root"].to_numpy(), "n": [len(h) for h in hashes], "h": hashes})
+
+    return texts.mapInPandas(run, "v bigint, root bigint, n bigint, h array<bigint>")
+
+
+def _alike(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b): pairs of sets of different roots, among them all of a Jaccard similarity of threshold or more.
+
+    Shingles are put in one order, those of one root first, then the rarer first. Sets of sizes s <= l and similarity t share
+    t / (1 + t) * (s + l) shingles or more, hence 2t / (1 + t) * s and t * l, and all of them stand behind the first shared one in both.
+    So that is one of the first of each set, and the sets meet there; no shingle is too common to count.
+    """
+    every = sets.select("v", "root", "n", F.explode("h").alias("h"))
+    held = every.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    shared = every.join(held.filter("low < high").select("h", "c").hint("merge"), "h")
+    mine = Window.partitionBy("v")
+    behind = F.count(F.lit(1)).over(mine) - F.row_number().over(mine.orderBy("c", "h")) + 1  # shingles from this one on; those of one root come before
+    both, slip = threshold / (1 + threshold), 1e-9
+    first = scratch.table(shared.select("v", "root", "n", "h", behind.alias("k")).filter(F.col("k") >= threshold * F.col("n") - slip), "first")
+    short = first.filter(F.col("k") >= 2 * both * F.col("n") - slip).toDF("a", "ra", "na", "h", "ka")
+    meet = short.join(first.toDF("b", "rb", "nb", "h", "kb").hint("merge"), "h")
+    meet = meet.filter((F.struct("na", "a") < F.struct("nb", "b")) & (F.col("ra") != F.col("rb")) & (F.col("na") >= threshold * F.col("nb") - slip))
+    meet = meet.filter(F.least("ka", "kb") >= both * (F.col("na") + F.col("nb")) - slip)
+    return meet.select("a", "b").distinct()
 
 
 @F.pandas_udf(DoubleType())
@@ -263,8 +297,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = scratch.table(texts.groupBy("v").agg(F.first("text").alias("text")) if _repeats(rows) else texts, "texts0")
     sketches = nodes.select("v", "sketch")
     margin = SLACK * math.sqrt(threshold * (1 - threshold) / M)
-    found = tried = roots = None
-    n = 0
+    beside = lambda left, side, table, name: left.join(table.withColumnsRenamed({"v": side, name: f"{name}_{side}"}).hint("merge"), side)
+    verified = lambda pairs, texts: beside(beside(pairs, "a", texts, "text"), "b", texts, "text").filter(_verify("text_a", "text_b") >= threshold).select("a", "b")
+    found = tried = short = roots = wide = None
+    every_text, n = texts, 0
     while True:
         starred = scratch.table(_stars(members, WIDEN**n), f"stars{n}")
         if n and not starred.take(1):
@@ -272,11 +308,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = starred.filter("root <> other").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         pairs = scratch.table(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti") if n else pairs, f"pairs{n}")
         tried = tried.union(pairs) if n else pairs
-        beside = lambda left, side, table, name: left.join(table.withColumnsRenamed({"v": side, name: f"{name}_{side}"}).hint("merge"), side)
         guess = beside(beside(pairs, "a", sketches, "sketch"), "b", sketches, "sketch")
-        likely = guess.filter(_estimate("sketch_a", "sketch_b") >= threshold - margin).select("a", "b")
-        full = beside(beside(likely, "a", texts, "text"), "b", texts, "text")
-        good = scratch.table(full.filter(_verify("text_a", "text_b") >= threshold).select("a", "b"), f"good{n}")
+        guess = scratch.table(guess.select("a", "b", (_estimate("sketch_a", "sketch_b") >= threshold - margin).alias("likely")), f"guess{n}")
+        good = scratch.table(verified(guess.filter("likely").select("a", "b"), texts), f"good{n}")
+        short = short.union(guess.filter("NOT likely")) if n else guess.filter("NOT likely")
         links = good.select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = found.union(good) if n else good
         if not n or good.take(1):
@@ -284,19 +319,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # leaders have met their whole buckets; the others meet again while they belong to several groups
         left = starred.filter(~F.col("leads")).select("band", "key", "v").distinct()
         now = scratch.table(_open(left, roots, found), f"open{n}")
-        members = scratch.table(_split(now, sketches, scratch), f"members{n}") if n + 1 == SPLIT_ROUND else now
+        members = now
+        if n + 1 == SPLIT_ROUND:
+            buckets = scratch.table(_wide(now), "buckets")
+            if buckets.take(1):
+                wide = scratch.table(now.join(buckets.hint("merge"), ["band", "key"]).select("v").distinct(), "wide")
+                members = scratch.table(now.join(buckets.hint("merge"), ["band", "key"], "left_anti"), f"members{n}")
         if not n:  # few are left, so what later rounds read of them is set apart
             still = members.select("v").distinct().hint("merge")
             texts, sketches = (scratch.table(x.join(still, "v", "left_semi"), f"{name}1") for x, name in ((texts, "texts"), (sketches, "sketches")))
-            scratch.drop("texts0", "members")
+            scratch.drop("members")
         scratch.drop(f"stars{n}")
         n += 1
+    # what the rounds left open: pairs whose estimate fell short, in different groups still, and wide buckets
+    grouped = nodes.select("v").join(roots.hint("merge"), "v", "left").select("v", F.coalesce("root", "v").alias("root"))
+    apart = beside(beside(short.select("a", "b"), "a", grouped, "root"), "b", grouped, "root").filter("root_a <> root_b").select(F.explode(F.array("a", "b")).alias("v"))
+    rest = scratch.table((apart if wide is None else apart.union(wide)).distinct().join(grouped.hint("merge"), "v"), "rest")
+    if rest.take(1):
+        sets = scratch.table(_sets(rest.join(every_text.hint("merge"), "v")), "sets")
+        good = scratch.table(verified(_alike(sets, threshold, scratch), every_text), "good")
+        if good.take(1):
+            roots = _components(good.select(F.col("a").alias("u"), F.col("b").alias("v")).union(roots.select(F.col("root").alias("u"), "v")), scratch, "cc_")
     group = nodes.select("v", "d1", "d2").join(roots.hint("merge"), "v", "left").select("d1", "d2", F.coalesce("root", "v").alias("root"))
     placed = rows.select("doc_id", "th", "d1", "d2").distinct().join(group.hint("merge"), ["d1", "d2"]).select("doc_id", "th", "root")
     first = placed.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     out = placed.join(first.hint("merge"), "root").filter(~place.eqNullSafe(F.col("keeper")))
     out = scratch.table(out.select("doc_id", "th", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.th").alias("keeper_th")), "groups")
-    scratch.drop("rows", "nodes", "texts1", "sketches1", "wide", *(f"{x}{m}" for x in ("stars", "pairs", "good", "open", "members") for m in range(n + 1)))
+    scratch.drop("rows", "nodes", "texts0", "texts1", "sketches1", "buckets", "wide", "rest", "sets", "first", "good", *(f"{x}{m}" for x in ("stars", "pairs", "guess", "good", "open", "members") for m in range(n + 1)))
     return out
 
 

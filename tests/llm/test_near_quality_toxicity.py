@@ -10,6 +10,7 @@ import numpy as np
 
 from seekmill.llm import near_dedup as nd
 from seekmill.llm import quality, toxicity
+from seekmill.llm.common import Scratch
 
 from . import brute
 
@@ -64,6 +65,64 @@ def test_wide_buckets_are_split_without_losing_pairs(spark, monkeypatch):
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want) > 90, (len(got), len(want))
 
 
+def _narrowly_alike():
+    """Pairs of documents just above the threshold; all documents share more than half of their words with all others."""
+    rng = random.Random(21)
+    head, rows = [f"h{n}" for n in range(120)], []
+    for g in range(150):
+        own = [f"g{g}w{n}" for n in range(80)]
+        new = rng.randrange(40, 46)
+        rows += [(2 * g, " ".join(head + own), "s"), (2 * g + 1, " ".join(head + own[new:] + [f"g{g}x{n}" for n in range(new)]), "s")]
+    return rows
+
+
+def _bands(rows):
+    """The places in which all four registers of the two documents of a pair are equal, and how many documents have those."""
+    keys = nd.registers(*nd.shingles([nd.fold(t) for _, t, _ in rows])).reshape(len(rows), nd.BANDS, nd.ROWS)
+    for a in range(0, len(rows), 2):
+        yield a, [int((keys[:, b] == keys[a, b]).all(1).sum()) for b in np.flatnonzero((keys[a] == keys[a + 1]).all(1))]
+
+
+def test_no_pair_of_a_wide_bucket_is_lost(spark, monkeypatch):
+    """Pairs whose only common band is a wide bucket have no second band to meet in."""
+    monkeypatch.setattr(nd, "SPLIT", 8)
+    rows = _narrowly_alike()
+    want = brute.near([(i, t) for i, t, _ in rows], nd.THRESHOLD)
+    once = {a for a, sizes in _bands(rows) if len(sizes) == 1 and sizes[0] > 40 and a + 1 in want}
+    met = {a + 1 for a, sizes in _bands(rows) if sizes and a + 1 in want}
+    assert once and len(met) > 90
+    got = {r.doc_id: r.keeper_id for r in nd.near_duplicates(brute.table(spark, rows)).collect()}
+    assert met <= set(got) and got.items() <= want.items(), (sorted(met - set(got)), once)
+
+
+def test_pairs_whose_estimate_falls_short_are_not_lost(spark, monkeypatch):
+    """No estimate is high enough for the rounds, so all is left to the join, which finds the groups."""
+    monkeypatch.setattr(nd, "SLACK", -12.0)
+    rows = _narrowly_alike()
+    want = brute.near([(i, t) for i, t, _ in rows], nd.THRESHOLD)
+    met = {a + 1 for a, sizes in _bands(rows) if sizes and a + 1 in want}
+    got = {r.doc_id: r.keeper_id for r in nd.near_duplicates(brute.table(spark, rows)).collect()}
+    assert met <= set(got) and got.items() <= want.items()
+
+
+def test_the_join_of_sets_is_exact(spark):
+    """Sets of all sizes and similarities, some of them common to many, against all pairs; pairs of one root are left out."""
+    rng = random.Random(3)
+    words, sets = [rng.getrandbits(63) for _ in range(60)], []
+    for v in range(300):
+        like = set(rng.choice(sets)[3]) if sets and rng.random() < 0.6 else set(rng.sample(words, rng.randrange(1, 25)))
+        like = {h for h in like if rng.random() < 0.9} | {rng.getrandbits(63) for _ in range(rng.randrange(4))} | {words[0]}
+        sets.append((v, v // 2, len(like), sorted(like)))
+    table = spark.createDataFrame(sets, "v bigint, root bigint, n bigint, h array<bigint>")
+    for threshold in (0.4, 0.6, 1.0):
+        want = set()
+        for (a, ra, _, x), (b, rb, _, y) in itertools.combinations(sets, 2):
+            if ra != rb and len({*x} & {*y}) / len({*x} | {*y}) >= threshold:
+                want.add((a, b))
+        got = [(min(r), max(r)) for r in nd._alike(table, threshold, Scratch(spark, "test")).collect()]
+        assert want and want <= set(got) and len(set(got)) == len(got), threshold
+
+
 def test_sketches_merge_and_estimate():
     rng = random.Random(6)
     for share in (0.2, 0.6, 0.9):
