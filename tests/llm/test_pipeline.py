@@ -6,6 +6,7 @@ import corpus_pipeline as cp
 from seekmill.llm import near_dedup, quality
 
 from . import brute
+from .test_near_quality_toxicity import _narrowly_alike
 
 
 def test_stages_keep_the_columns_of_documents(spark, sf_dir):
@@ -63,3 +64,14 @@ def test_run_over_nasty_rows(spark, sf_dir, tmp_path):
     for r in out:
         load[r.bin_id] += r.n_tokens
     assert max(load.values()) <= 2048
+
+
+def test_run_keeps_one_of_each_pair_of_a_wide_bucket(spark, tmp_path, monkeypatch):
+    """Without labels and repeated lines near dedup alone drops documents; a pair whose only common band is a wide bucket is no exception."""
+    monkeypatch.setattr(near_dedup, "SPLIT", 8)
+    rows = _narrowly_alike()
+    brute.table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = brute.near([(i, t) for i, t, _ in rows], near_dedup.THRESHOLD)
+    assert len(gone) == len(rows) // 2
+    assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == {i for i, _, _ in rows} - set(gone)
