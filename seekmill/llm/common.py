@@ -54,6 +54,11 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
 
+    def release(self) -> None:
+        """Have the shuffle files of finished writes removed now: Spark does so when the driver's JVM has collected their plans."""
+        self.spark.sparkContext._jvm.System.gc()
+
+
 
 def word_count(text: Column) -> Column:
     """Words between white space in the whole text, 0 for NULL; the token measure of the mixing and packing queries."""

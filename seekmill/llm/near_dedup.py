@@ -11,8 +11,11 @@ Texts equal but for case and punctuation are one node. A bucket is a star, not a
 one of them, the leader, who has then met everyone and leaves. Groups are the connected components of the pairs verified so far;
 while the members left in a bucket belong to several groups, they meet again with WIDEN times as many leaders, members with the
 most matches first. A bucket of copies costs its size, and members that are all different meet all others in the end, unless
-they are of more than SPLIT groups. Members of such wide buckets, and those of pairs whose estimate fell short and which ended in different groups,
-are joined on their sets of shingles, exactly (a prefix filter: _alike). So the groups are those of all pairs of all buckets, or of larger ones.
+they are of more than SPLIT groups.
+
+What the buckets leave open (pairs without a common band, in wide buckets, or whose estimate fell short) is settled without sketches. A text can be
+alike one of another group only if it shares threshold of its shingles with other groups: all shingles of all texts are counted for that
+(_possible). Texts that do are joined on their sets, exactly (a prefix filter: _alike). So the groups are those of all pairs of texts.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -40,6 +44,10 @@ SLACK = 3.0
 WIDEN = 4
 #: A bucket with more groups than SPLIT after so many rounds is left to the join.
 SPLIT, SPLIT_ROUND = 256, 2
+#: Characters of a block of texts, in the join of what the buckets leave open, and so many for each part of the shingles' counting.
+BLOCK, PART = 4_000_000, 8_000_000
+#: Characters of text that are hashed at once; such blocks fit the cache.
+CACHED = 500_000
 
 _rng = np.random.default_rng(7_2021)
 _A = _rng.integers(0, 1 << 32, M, dtype=np.uint32) | np.uint32(1)
@@ -149,7 +157,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             at, size = 0, pdf["text"].str.len().to_numpy()
             while at < len(pdf):
                 to, chars = at + 1, size[at]
-                while to < len(pdf) and to < at + 512 and chars + size[to] < 500_000:  # blocks that fit the cache
+                while to < len(pdf) and to < at + 512 and chars + size[to] < CACHED:
                     chars += size[to]
                     to += 1
                 part, at = pdf.iloc[at:to], to
@@ -210,24 +218,104 @@ def _wide(members: DataFrame) -> DataFrame:
     return groups.filter(F.col("n") > SPLIT).select("band", "key")
 
 
+def _distinct(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Rows of texts in blocks, 65 536 at most, and the distinct shingles of each, in order."""
+    for pdf in batches:
+        at, size = 0, pdf["text"].str.len().to_numpy()
+        while at < len(pdf):
+            begin, chars, sets = at, 0, []
+            while at < len(pdf) and at < begin + 65_536 and (not sets or chars + size[at] < BLOCK):
+                to, hashed = at + 1, size[at]
+                while to < len(pdf) and to < begin + 65_536 and hashed + size[to] < CACHED and chars + hashed + size[to] < BLOCK:
+                    hashed += size[to]
+                    to += 1
+                hashes, first = shingles([fold(t) for t in pdf["text"].iloc[at:to]])
+                sets += [np.unique(h) for h in np.split(hashes, first[1:])]
+                at, chars = to, chars + hashed
+            yield pdf.iloc[begin:at], sets
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """(v, root, n, h): the n distinct shingles of texts (v, root, text), as hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            at, size = 0, pdf["text"].str.len().to_numpy()
-            while at < len(pdf):
-                to, chars = at + 1, size[at]
-                while to < len(pdf) and chars + size[to] < 4_000_000:
-                    chars += size[to]
-                    to += 1
-                part, at = pdf.iloc[at:to], to
-                hashes = [np.unique(shingles([fold(t)])[0]).view(np.int64) for t in part["text"]]
-                yield pd.DataFrame({"v": part["v"].to_numpy(), "root": part["root"].to_numpy(), "n": [len(h) for h in hashes], "h": hashes})
+        for part, hashes in _distinct(batches):
+            yield pd.DataFrame({"v": part["v"].to_numpy(), "root": part["root"].to_numpy(), "n": [len(h) for h in hashes], "h": [h.view(np.int64) for h in hashes]})
 
     return texts.mapInPandas(run, "v bigint, root bigint, n bigint, h array<bigint>")
 
 
+def _of_several(keys: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Whether another root has the key as well."""
+    order = np.argsort(keys)
+    k, r = keys[order], roots[order]
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    several = np.minimum.reduceat(r, begin) != np.maximum.reduceat(r, begin)
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(several, np.diff(np.append(begin, len(keys))))
+    return out
+
+
+def _possible(texts: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """v of the texts (v, root, grouped, text) that share threshold of their distinct shingles with other roots, among them all that are alike
+    one of another root. grouped: there are others of that root. Texts must come in the same order when a task is run again.
+
+    Blocks of texts send their shingles to parts by their upper bits, once each, as the lower 32 (a clash makes a shingle shared that isn't);
+    those of several roots in the block are known to be shared and sent without an owner, so one that all texts hold comes once a block.
+    Parts send back how many of a text's shingles other blocks hold.
+    """
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # of a part: h: shingles of one root, then those of several; d: the texts of the former; r: the roots of the last of them, if grouped.
+        # of a block (p < 0): h: v; d: sizes; r: shingles known to be shared
+        task = TaskContext.get().partitionId() << 32
+        for n, (part, sets) in enumerate(_distinct(batches)):
+            size = np.array([len(s) for s in sets])
+            h, d = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            root, grouped = part["root"].to_numpy(), part["grouped"].to_numpy().astype(bool)
+            shared = _of_several(h, root[d])
+            yield pd.DataFrame({"p": [-1 - n % parts], "block": [task + n], "h": [part["v"].to_numpy().astype("<i8").tobytes()], "d": [size.astype("<i8").tobytes()],
+                                "r": [np.bincount(d[shared], minlength=len(sets)).astype("<i8").tobytes()]})
+            place = lambda h: ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            common, h, d = np.unique(h[shared]), h[~shared], d[~shared]
+            to = 2 * place(h) + grouped[d]
+            order = np.argsort(to, kind="stable")
+            h, d, to = h[order].astype("<u4"), d[order], to[order]
+            start, middle, m = np.searchsorted(to, 2 * np.arange(parts + 1)), np.searchsorted(to, 2 * np.arange(parts) + 1), np.searchsorted(place(common), np.arange(parts + 1))
+            common, roots, d = common.astype("<u4"), root[d].astype("<i8"), d.astype("<u2")
+            some = [p for p in range(parts) if start[p] < start[p + 1] or m[p] < m[p + 1]]
+            yield pd.DataFrame({"p": some, "block": task + n, "h": [h[start[p] : start[p + 1]].tobytes() + common[m[p] : m[p + 1]].tobytes() for p in some],
+                                "d": [d[start[p] : start[p + 1]].tobytes() for p in some], "r": [roots[middle[p] : start[p + 1]].tobytes() for p in some]})
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf[["block", "h", "d", "r"]]
+        if pdf["p"].iat[0] < 0:
+            return out
+        h = np.frombuffer(b"".join(pdf["h"]), "<u4")
+        begin = np.cumsum([0] + [len(x) // 4 for x in pdf["h"]])
+        roots, owner = -1 - np.arange(len(h)), np.full(len(h), -1)  # roots are all different, unless grouped
+        for n, (at, d, r) in enumerate(zip(begin, pdf["d"], pdf["r"])):
+            to = at + len(d) // 2
+            roots[to - len(r) // 8 : to] = np.frombuffer(r, "<i8")
+            owner[at:to] = np.frombuffer(d, "<u2") + np.int64(n << 16)
+        owner, held = np.unique(owner[_of_several(h, roots) & (owner >= 0)], return_counts=True)
+        at = np.searchsorted(owner, np.arange(len(out) + 1) << 16)
+        d, r = (owner & 65_535).astype("<u2"), held.astype("<i8")
+        return out.assign(h=b"", d=[d[a:b].tobytes() for a, b in zip(at, at[1:])], r=[r[a:b].tobytes() for a, b in zip(at, at[1:])])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        is_block = pdf["h"].str.len() > 0
+        v, size, held = (np.frombuffer(pdf.loc[is_block, c].iat[0], "<i8") for c in "hdr")
+        held = held.copy()
+        for d, c in zip(pdf.loc[~is_block, "d"], pdf.loc[~is_block, "r"]):
+            held[np.frombuffer(d, "<u2")] += np.frombuffer(c, "<i8")
+        return pd.DataFrame({"v": v[held >= threshold * size - 1e-9]})
+
+    sent = texts.mapInPandas(send, "p int, block bigint, h binary, d binary, r binary")
+    counted = sent.groupBy("p").applyInPandas(count, "block bigint, h binary, d binary, r binary")
+    return counted.groupBy("block").applyInPandas(add, "v bigint")
+
+
 def _alike(sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(a, b): pairs of sets of different roots, among them all of a Jaccard similarity of threshold or more.
 
@@ -278,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, th, keeper_id, keeper_th): every row that is not the first, by (doc_id, hash of the text th), of its group, and the group's first.
 
     NULL ids come first and are allowed; rows with equal id and text are one. NULL and empty texts, and those without a
-    letter, digit or non-ASCII character, belong to no group. Texts of fewer than SHINGLE words are alike if equal but for
+    letter, digit or non-ASCII character, belong to no group. No pair of alike texts is lost. Texts of fewer than SHINGLE words are alike if equal but for
     case and punctuation. Very long texts are sketched and verified whole. A pair whose similarity ties with the threshold is alike.
     Other columns are ignored; an empty table gives an empty result.
     """
@@ -290,17 +378,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     every = nodes.select("v", F.posexplode("sketch").alias("band", "key"))
     shared = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     members = scratch.table(every.join(shared.hint("merge"), ["band", "key"]), "members")
-    # texts of the nodes in any shared bucket, the only ones that may need verification
-    wanted = members.select("v").distinct().join(nodes.select("v", "p").hint("merge"), "v").select("v", F.col("p.doc_id").alias("_i"), F.col("p.th").alias("_t"))
+    # texts of the nodes; met: in any shared bucket, so the rounds may verify them
+    met = members.select("v").distinct().withColumn("met", F.lit(True))
+    wanted = nodes.select("v", "p").join(met.hint("merge"), "v", "left").select("v", F.col("met").isNotNull().alias("met"), F.col("p.doc_id").alias("_i"), F.col("p.th").alias("_t"))
     source = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_d"), F.xxhash64(f"`{text_col}`").alias("_h"), F.col(f"`{text_col}`").alias("text"))
-    texts = source.join(wanted.hint("shuffle_hash"), (F.col("_h") == F.col("_t")) & F.col("_d").eqNullSafe(F.col("_i"))).select("v", "text")
-    texts = scratch.table(texts.groupBy("v").agg(F.first("text").alias("text")) if _repeats(rows) else texts, "texts0")
+    texts = source.join(wanted.hint("shuffle_hash"), (F.col("_h") == F.col("_t")) & F.col("_d").eqNullSafe(F.col("_i"))).select("v", "met", "text")
+    every_text = scratch.table(texts.groupBy("v", "met").agg(F.first("text").alias("text")) if _repeats(rows) else texts, "texts0")
+    texts = every_text.filter("met").select("v", "text")
     sketches = nodes.select("v", "sketch")
     margin = SLACK * math.sqrt(threshold * (1 - threshold) / M)
     beside = lambda left, side, table, name: left.join(table.withColumnsRenamed({"v": side, name: f"{name}_{side}"}).hint("merge"), side)
     verified = lambda pairs, texts: beside(beside(pairs, "a", texts, "text"), "b", texts, "text").filter(_verify("text_a", "text_b") >= threshold).select("a", "b")
-    found = tried = short = roots = wide = None
-    every_text, n = texts, 0
+    found = tried = roots = None
+    n = 0
     while True:
         starred = scratch.table(_stars(members, WIDEN**n), f"stars{n}")
         if n and not starred.take(1):
@@ -311,7 +401,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         guess = beside(beside(pairs, "a", sketches, "sketch"), "b", sketches, "sketch")
         guess = scratch.table(guess.select("a", "b", (_estimate("sketch_a", "sketch_b") >= threshold - margin).alias("likely")), f"guess{n}")
         good = scratch.table(verified(guess.filter("likely").select("a", "b"), texts), f"good{n}")
-        short = short.union(guess.filter("NOT likely")) if n else guess.filter("NOT likely")
         links = good.select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = found.union(good) if n else good
         if not n or good.take(1):
@@ -323,7 +412,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if n + 1 == SPLIT_ROUND:
             buckets = scratch.table(_wide(now), "buckets")
             if buckets.take(1):
-                wide = scratch.table(now.join(buckets.hint("merge"), ["band", "key"]).select("v").distinct(), "wide")
                 members = scratch.table(now.join(buckets.hint("merge"), ["band", "key"], "left_anti"), f"members{n}")
         if not n:  # few are left, so what later rounds read of them is set apart
             still = members.select("v").distinct().hint("merge")
@@ -331,13 +419,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             scratch.drop("members")
         scratch.drop(f"stars{n}")
         n += 1
-    # what the rounds left open: pairs whose estimate fell short, in different groups still, and wide buckets
-    grouped = nodes.select("v").join(roots.hint("merge"), "v", "left").select("v", F.coalesce("root", "v").alias("root"))
-    apart = beside(beside(short.select("a", "b"), "a", grouped, "root"), "b", grouped, "root").filter("root_a <> root_b").select(F.explode(F.array("a", "b")).alias("v"))
-    rest = scratch.table((apart if wide is None else apart.union(wide)).distinct().join(grouped.hint("merge"), "v"), "rest")
+    # what the rounds left open
+    scratch.drop("members", "texts1", "sketches1", "buckets", *(f"{x}{m}" for x in ("stars", "pairs", "guess", "good", "open", "members") for m in range(n + 1)))
+    scratch.release()
+    groups = roots.union(roots.select("root", "root").distinct())
+    grouped = every_text.select("v", "text").join(groups.hint("merge"), "v", "left").select("v", F.coalesce("root", "v").alias("root"), F.col("root").isNotNull().alias("grouped"), "text")
+    chars = every_text.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    rest = scratch.table(_possible(grouped, threshold, 1 + chars // PART), "rest")
+    scratch.release()
     if rest.take(1):
-        sets = scratch.table(_sets(rest.join(every_text.hint("merge"), "v")), "sets")
-        good = scratch.table(verified(_alike(sets, threshold, scratch), every_text), "good")
+        last = scratch.table(grouped.join(rest.hint("merge"), "v", "left_semi").select("v", "root", "text"), "texts2")
+        scratch.drop("texts0")
+        scratch.release()
+        sets = scratch.table(_sets(last), "sets")
+        good = scratch.table(verified(_alike(sets, threshold, scratch), last.select("v", "text")), "good")
         if good.take(1):
             roots = _components(good.select(F.col("a").alias("u"), F.col("b").alias("v")).union(roots.select(F.col("root").alias("u"), "v")), scratch, "cc_")
     group = nodes.select("v", "d1", "d2").join(roots.hint("merge"), "v", "left").select("d1", "d2", F.coalesce("root", "v").alias("root"))
@@ -345,7 +440,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = placed.groupBy("root").agg(F.min(place).alias("keeper"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
     out = placed.join(first.hint("merge"), "root").filter(~place.eqNullSafe(F.col("keeper")))
     out = scratch.table(out.select("doc_id", "th", F.col("keeper.doc_id").alias("keeper_id"), F.col("keeper.th").alias("keeper_th")), "groups")
-    scratch.drop("rows", "nodes", "texts0", "texts1", "sketches1", "buckets", "wide", "rest", "sets", "first", "good", *(f"{x}{m}" for x in ("stars", "pairs", "guess", "good", "open", "members") for m in range(n + 1)))
+    scratch.drop("rows", "nodes", "texts0", "texts2", "rest", "sets", "first", "good")
     return out
 
 

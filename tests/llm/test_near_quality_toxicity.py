@@ -105,6 +105,43 @@ def test_pairs_whose_estimate_falls_short_are_not_lost(spark, monkeypatch):
     assert met <= set(got) and got.items() <= want.items()
 
 
+def _without_a_band():
+    """Pairs of documents above the threshold, of which the first share no band; nothing is common to pairs."""
+    rows = []
+    for g in range(700):
+        own = [f"g{g}w{n}" for n in range(100)]
+        rows += [(2 * g, " ".join(own), "s"), (2 * g + 1, " ".join(own[24:] + [f"g{g}x{n}" for n in range(24)]), "s")]
+    apart = [a for a, sizes in _bands(rows) if not sizes]
+    return [rows[i] for a in [*apart, *range(0, 20, 2)] for i in (a, a + 1)], len(apart)
+
+
+def test_pairs_without_a_common_band_are_not_lost(spark):
+    rows, apart = _without_a_band()
+    want = brute.near([(i, t) for i, t, _ in rows], nd.THRESHOLD)
+    assert apart > 3 and len(want) == len(rows) // 2
+    assert {r.doc_id: r.keeper_id for r in nd.near_duplicates(brute.table(spark, rows)).collect()} == want
+
+
+def test_no_text_is_ruled_out_by_its_shingles(spark, monkeypatch):
+    """Texts in several blocks and parts, of roots of one or several: exactly those stay that share enough with other roots."""
+    monkeypatch.setattr(nd, "BLOCK", 1_500)
+    rng = random.Random(4)
+    texts = []
+    for v in range(120):
+        old = rng.choice(texts)[3].split()[: rng.randrange(60)] if texts and rng.random() < 0.8 else []
+        texts.append((v, v - v % 3 if v < 60 else v, v < 60, " ".join(old + [f"v{v}w{n}" for n in range(rng.randrange(3, 40))])))
+    sets = {v: {*nd.shingles([nd.fold(t)])[0].tolist()} for v, _, _, t in texts}
+    held = {}
+    for v, root, _, _ in texts:
+        for h in sets[v]:
+            held.setdefault(h, set()).add(root)
+    want = {v for v, s in sets.items() if sum(len(held[h]) > 1 for h in s) >= 0.6 * len(s) - 1e-9}
+    table = spark.createDataFrame(texts, "v bigint, root bigint, grouped boolean, text string").repartition(3, "v")
+    assert 10 < len(want) < 110
+    for parts in (1, 5):
+        assert sorted(r.v for r in nd._possible(table, 0.6, parts).collect()) == sorted(want)
+
+
 def test_the_join_of_sets_is_exact(spark):
     """Sets of all sizes and similarities, some of them common to many, against all pairs; pairs of one root are left out."""
     rng = random.Random(3)

@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from seekmill.llm import near_dedup, quality
 
 from . import brute
-from .test_near_quality_toxicity import _narrowly_alike
+from .test_near_quality_toxicity import _narrowly_alike, _without_a_band
 
 
 def test_stages_keep_the_columns_of_documents(spark, sf_dir):
@@ -75,3 +75,12 @@ def test_run_keeps_one_of_each_pair_of_a_wide_bucket(spark, tmp_path, monkeypatc
     gone = brute.near([(i, t) for i, t, _ in rows], near_dedup.THRESHOLD)
     assert len(gone) == len(rows) // 2
     assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == {i for i, _, _ in rows} - set(gone)
+
+
+def test_run_keeps_one_of_each_pair_without_a_common_band(spark, tmp_path):
+    rows, _ = _without_a_band()
+    brute.table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    gone = brute.near([(i, t) for i, t, _ in rows], near_dedup.THRESHOLD)
+    assert len(gone) == len(rows) // 2
+    assert {r.doc_id for r in cp.run(spark, str(tmp_path)).collect()} == {i for i, _, _ in rows} - set(gone)
