@@ -60,6 +60,35 @@ def test_near_pairs_are_all_pairs(spark, threshold):
     assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= threshold}
 
 
+@pytest.mark.parametrize(("threshold", "batch"), [(7, 10000), (8, 5), (10, 64), (12, 3)])
+def test_pairs_of_crowded_keys_are_all_pairs(spark, threshold, batch):
+    """Keys on which hundreds of hashes agree, over several batches; by bands, pairs that share a band."""
+    rng = random.Random(threshold)
+    base = [rng.getrandbits(64) for _ in range(3)]
+    sims = {rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(250)} | {rng.getrandbits(64) & 0xFFFF for _ in range(60)}
+    signed = sorted(s - (1 << 64) if s >> 63 else s for s in sims)
+    differ = {(a, b): (a ^ b) & (2**64 - 1) for i, a in enumerate(signed) for b in signed[i + 1 :]}
+    near = {(*p, x.bit_count()) for p, x in differ.items() if x.bit_count() <= threshold}
+    banded = {(*p, x.bit_count()) for p, x in differ.items() if x.bit_count() <= threshold and any(not x >> 8 * n & 255 for n in range(8))}
+    assert len(near) > 500 and (threshold < 8 or banded < near)
+    nodes = spark.createDataFrame([(s,) for s in signed], "simhash bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for found, want in ((dedup.near_pairs(nodes, threshold), near), (dedup.banded_pairs(nodes, threshold), banded)):
+            rows = [tuple(r) for r in found.collect()]
+            assert len(rows) == len(set(rows)) and set(rows) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("threshold", [3, 5, 7, 10])
+def test_near_pairs_broadcast_no_keys(spark, threshold):
+    """The hashes' file is small, the rows of their keys are up to 66 times as many."""
+    nodes = spark.range(1000).select(F.xxhash64("id").alias("simhash"))
+    for pairs in (dedup.near_pairs(nodes, threshold), dedup.banded_pairs(nodes, threshold)):
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_process_is_the_sequential_rule(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = dedup.with_identity(docs).select("doc_id", "text", "content_hash", "simhash").orderBy("doc_id").collect()
