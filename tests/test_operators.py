@@ -1,6 +1,7 @@
 """Operators on small tables: properties, brute force and states."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -345,6 +346,42 @@ def test_searches_read_the_terms_they_need(spark, sf_dir, tmp_path):
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,thing)]" in plan or "In(term" in plan or "EqualTo(term" in plan
 
 
+def test_batch_scores_stay_where_they_are_made(spark, monkeypatch):
+    """Between the sums for each query and chunk and the best of them there is no shuffle; many queries, joined by shuffles, have the same result."""
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 20)))
+    index = lexical.build_index(spark.createDataFrame([(f"c{n}", text()) for n in range(200)], "chunk_id string, content string"))
+    queries = spark.createDataFrame([(n, text()) for n in range(30)], "query_id bigint, text string")
+    found = lexical.bm25_batch(index, queries, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    by = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    assert not any("query_id" in x and "chunk_id" in x for x in by) and any(x.startswith("chunk_id") for x in by) and "WindowGroupLimit" in plan, plan
+    few = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(lexical, "MOST_TERMS", 10)
+    assert few == sorted(map(tuple, lexical.bm25_batch(index, queries, 5).collect())) and len(few) > 100
+
+
+def test_stored_postings_are_in_order_and_whole(spark, tmp_path, monkeypatch):
+    """Over many files, with a term that spans some of them, empty texts and a chunk of two rows; one shuffle of the texts and one of the postings."""
+    from collections import Counter
+
+    for name, value in (("FILE_ROWS", 50), ("SAMPLED", 20)):
+        monkeypatch.setattr(lexical, name, value)
+    rng = random.Random(5)
+    rows = [(f"c{n}", " ".join(["all", *(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(0, 30)))])) for n in range(300)] + [("c7", "all more"), ("e", ""), ("n", None), ("x", "Ünder-Straße 北京 \U0001f600 a1")]
+    spark.createDataFrame(rows, "chunk_id string, content string").write.parquet(f"file://{tmp_path}/chunks")
+    chunks = spark.read.parquet(f"file://{tmp_path}/chunks")
+    plan = lexical.ordered_index(chunks).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "rangepartitioning" not in plan
+    stored = lexical.stored_index(chunks, f"file://{tmp_path}/postings").postings
+    files = [[tuple(r) for r in spark.read.parquet(f).collect()] for f in stored.inputFiles()]
+    files = sorted((f for f in files if f), key=lambda f: f[0])
+    flat = [r for f in files for r in f]
+    assert len(files) > 20 and flat == sorted(flat) and sum(f[0][0] == "all" for f in files) > 1
+    want = Counter((t, c) for c, text in rows for t in re.findall(r"[^\W_]+", (text or "").lower()))
+    assert {(t, c): n for t, c, n, _ in flat} == dict(want) and len(flat) == len(want)
+
+
 def test_deep_pages_are_read():
     from seekmill.functions import html
 
