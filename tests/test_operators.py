@@ -382,6 +382,31 @@ def test_stored_postings_are_in_order_and_whole(spark, tmp_path, monkeypatch):
     assert {(t, c): n for t, c, n, _ in flat} == dict(want) and len(flat) == len(want)
 
 
+def test_a_second_import_takes_all_documents(spark, tmp_path):
+    """Also those whose text no entry has any more, as a near one came later: they change the entry again, or are new if what it holds now is further off."""
+    import duckdb
+    from seekmill.functions.identity import simhash_of
+    from seekmill.plans import registry
+
+    far = lambda a, b: ((simhash_of(a.lower().split()) ^ simhash_of(b.lower().split())) & (2**64 - 1)).bit_count()
+    rng = random.Random(2)
+    texts: list[str] = []
+    while len(texts) < 9:  # three chains of three: the second and third are near the first, and in the third chain not near each other
+        base = [f"w{rng.randint(0, 999)}" for _ in range(200)]
+        near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(200)]
+        near = [t for t in near if 0 < far(t, " ".join(base)) <= 3]
+        pairs = [(a, b) for i, a in enumerate(near) for b in near[i + 1 :] if (far(a, b) > 3) == (len(texts) == 6)]
+        if pairs:
+            texts += [" ".join(base), *pairs[0]]
+    rows = [(n, t) for n, t in enumerate([*texts, texts[0], "", None], 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = tuple(registry.queries()["j4_import_twice"](spark, f"file://{tmp_path}").first())
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    entries, urls, unchanged = duck.execute(registry.oracle_sql()["j4_import_twice"]).fetchone()
+    assert got == (entries, urls, unchanged) and urls == 2 * len(rows) and unchanged < 4 <= entries
+
+
 def test_deep_pages_are_read():
     from seekmill.functions import html
 
