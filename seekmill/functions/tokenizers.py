@@ -6,9 +6,8 @@ import base64
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from seekmill.functions import text as T
+from seekmill.functions import pieces, text as T
 
 ENCODINGS = ("cl100k_base", "o200k_base", "p50k_base", "r50k_base")
 _MODELS = (("text-embedding-3-", "cl100k_base"), ("text-embedding-ada", "cl100k_base"), ("bge", "cl100k_base"), ("nomic-embed", "cl100k_base"), ("e5", "cl100k_base"), ("embed-", "cl100k_base"))
@@ -45,4 +44,4 @@ def token_count(text: Column, name: str = "heuristic", ranks_path: str | None =
         enc = _encoder(ranks_path)
         return pd.Series([len(enc.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
 
-    return F.pandas_udf(run, "bigint")(text)
+    return pieces.udf(run, "bigint", text)

@@ -407,6 +407,25 @@ def test_a_second_import_takes_all_documents(spark, tmp_path):
     assert got == (entries, urls, unchanged) and urls == 2 * len(rows) and unchanged < 4 <= entries
 
 
+def test_python_functions_work_in_pieces(spark, monkeypatch):
+    """A worker holds the results of a few rows, not of a whole batch of them; the pieces change no result."""
+    import pandas as pd
+    from seekmill.functions import html, pieces
+
+    ids = spark.range(1000).coalesce(1)
+    size = lambda *xs: pd.Series([len(xs[0])] * len(xs[0]))
+    for columns in (["id"], ["id", "id"]):
+        got = [r.n for r in ids.select(pieces.udf(size, "bigint", *map(F.col, columns)).alias("n")).collect()]
+        assert len(got) == 1000 and max(got) == pieces.PIECE
+    docs = spark.createDataFrame([(f"d{n}", f"# T{n}\n" + f"Word {n} two three. " * (n * 40), n) for n in range(7)], "id string, content string, k int").coalesce(1)
+    pages = spark.createDataFrame([(f"https://e.org/{n}", f"<p>Page {n} <a href='/a{n}'>x</a></p>" if n % 3 else None) for n in range(7)], "url string, html string").coalesce(1)
+    found = []
+    for n in (1000, 2):
+        monkeypatch.setattr(pieces, "PIECE", n)
+        found.append((chunking.chunk_documents(docs, keep=("k",)).collect(), pages.select("url", html.extract(F.col("html"), F.col("url")).alias("x")).collect()))
+    assert found[0] == found[1] and len(found[0][0]) > 8
+
+
 def test_deep_pages_are_read():
     from seekmill.functions import html
 
