@@ -426,6 +426,34 @@ def test_python_functions_work_in_pieces(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0][0]) > 8
 
 
+@pytest.mark.parametrize("top", [3, 40])
+def test_batch_vector_searches_over_blocks(spark, monkeypatch, top):
+    """Over many blocks, with ties, a zero vector and fewer vectors in a block than asked for; LSH: exactly the pairs that share a band, with no row for each pair."""
+    import numpy as np
+
+    for name, value in (("QUERY_BLOCK", 16), ("QUERY_ROWS", 5)):
+        monkeypatch.setattr(vector, name, value)
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(60, 8)), 2)
+    v[40:50] = v[:10] * 2  # ties
+    v[59] = 0
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(99, None)], "vec_id bigint, embedding array<double>")
+    queries = rows.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    sims = np.round(np.clip(unit @ unit.T, 0, 1), 6)
+    bits = v @ vector.plane_matrix(8).T > 0
+    share = lambda i, j: any((bits[i, n : n + 5] == bits[j, n : n + 5]).all() for n in range(0, 125, 5))
+    plan = vector.lsh_search_batch(rows, queries, top, "vec_id", dims=8)
+    assert "distinct" not in plan._jdf.queryExecution().executedPlan().toString() and plan._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    for found, ok in ((vector.vector_search_batch(rows, queries, top, "vec_id"), lambda i, j: True), (plan, share)):
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in found.withColumnRenamed("vec_id", "chunk_id").collect()}
+        want = {}
+        for i in range(0, 60, 3):
+            near = sorted((-sims[i, j], j) for j in range(60) if ok(i, j))[:top]
+            want |= {(i, n): (j, -s) for n, (s, j) in enumerate(near, 1)}
+        assert {k: x[0] for k, x in got.items()} == {k: x[0] for k, x in want.items()} and all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_deep_pages_are_read():
     from seekmill.functions import html
 
